@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.llm import sketch
+from strandlake.llm.packing import fill_containers
 from strandlake.llm.runs import state_runs
+from strandlake.llm.tokens import encode_corpus, token_counts
 from strandlake.operators.messages import one_copy
-from strandlake.session import table
+from strandlake.session import table, written
 
 P5_AT = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 P5_ERROR = 0.01
@@ -39,7 +41,26 @@ def p5_percentiles(spark, d):
     return sketch.percentiles(whole, ["pair_i", "pair_j"], P5_AT, P5_ERROR).withColumn("value", F.round("value", 6))
 
 
-QUERIES = {"p1_found": p1_found, "p1_events": p1_events, "p5_percentiles": p5_percentiles, "p5_day_sketches": p5_day_sketches}
+def p6_ids(spark, d):
+    return encode_corpus(table(spark, d, "documents"))
+
+
+def p7_containers(spark, d):
+    """Which piece of which document lies in which container of each kind.
+
+    The tokens are counted once and written, with the little that packing needs.
+    """
+    docs = table(spark, d, "documents")
+    sizes = written(token_counts(docs), "token-counts")
+    items = sizes.join(docs.select("doc_id", "source", "paper_key"), "doc_id").select("doc_id", F.col("n_tokens").alias("tokens"), "source", F.col("paper_key").alias("cluster"))
+    kinds = table(spark, d, "token_container")
+    capacities = [r["capacity_tokens"] for r in kinds.select("capacity_tokens").distinct().collect()]  # a fixed list of kinds
+    placed = fill_containers(items, capacities)
+    named = F.broadcast(kinds.select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity")))
+    return placed.join(named, "capacity").select("container_kind", F.col("capacity").alias("capacity_tokens"), "container", "doc_id", "piece", "first_token", "tokens", "room")
+
+
+QUERIES = {"p1_found": p1_found, "p1_events": p1_events, "p5_percentiles": p5_percentiles, "p5_day_sketches": p5_day_sketches, "p6_ids": p6_ids, "p7_containers": p7_containers}
 
 _RUNS = """
 WITH e AS (
