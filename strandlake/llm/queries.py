@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.llm import sketch
+from strandlake.llm.mojibake import garbled_documents, restored_documents
 from strandlake.llm.packing import fill_containers
 from strandlake.llm.runs import state_runs
 from strandlake.llm.tokens import encode_corpus, token_counts
@@ -50,9 +51,9 @@ def p7_containers(spark, d):
 
     The tokens are counted once and written, with the little that packing needs.
     """
-    docs = table(spark, d, "documents")
-    sizes = written(token_counts(docs), "token-counts")
-    items = sizes.join(docs.select("doc_id", "source", "paper_key"), "doc_id").select("doc_id", F.col("n_tokens").alias("tokens"), "source", F.col("paper_key").alias("cluster"))
+    docs = table(spark, d, "documents").select(F.struct("doc_id", "source", "paper_key").alias("doc"), "text")
+    sizes = written(token_counts(docs, "doc"), "token-counts")
+    items = sizes.select("doc.doc_id", F.col("n_tokens").alias("tokens"), "doc.source", F.col("doc.paper_key").alias("cluster"))
     kinds = table(spark, d, "token_container")
     capacities = [r["capacity_tokens"] for r in kinds.select("capacity_tokens").distinct().collect()]  # a fixed list of kinds
     placed = fill_containers(items, capacities)
@@ -60,7 +61,15 @@ def p7_containers(spark, d):
     return placed.join(named, "capacity").select("container_kind", F.col("capacity").alias("capacity_tokens"), "container", "doc_id", "piece", "first_token", "tokens", "room")
 
 
-QUERIES = {"p1_found": p1_found, "p1_events": p1_events, "p5_percentiles": p5_percentiles, "p5_day_sketches": p5_day_sketches, "p6_ids": p6_ids, "p7_containers": p7_containers}
+def p8_found(spark, d):
+    return garbled_documents(table(spark, d, "documents"))
+
+
+def p8_restored(spark, d):
+    return restored_documents(table(spark, d, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_events": p1_events, "p5_percentiles": p5_percentiles, "p5_day_sketches": p5_day_sketches, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_restored": p8_restored}
 
 _RUNS = """
 WITH e AS (
