@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,5 +40,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if nothing else does."""
+    here = str(Path(__file__).resolve().parent.parent)
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if here not in known.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{here}:{known}".rstrip(":")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
