@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.plans import aggregates, deliveries, models, selections, sequences
+from strandlake.plans import aggregates, deliveries, exchanges, fits, models, selections, sequences
 
-_PARTS = [deliveries, sequences, aggregates, selections, models]
+_PARTS = [deliveries, sequences, aggregates, selections, models, exchanges, fits]
 
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
