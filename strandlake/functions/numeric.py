@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 DEG = math.pi / 180
 
@@ -63,7 +64,7 @@ def voigt(gamma: float, sigma: float, x: Column, points: int = 2001) -> Column:
 def batched(f: Callable[..., np.ndarray]) -> Callable[..., Column]:
     """A Column function from one over arrays of doubles; nulls stay null."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def run(*columns: pd.Series) -> pd.Series:
         values = [c.to_numpy(dtype=np.float64, na_value=np.nan) for c in columns]
         with np.errstate(all="ignore"):

@@ -1 +1 @@
-
+"""Live sets on Structured Streaming."""
