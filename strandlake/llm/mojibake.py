@@ -35,12 +35,13 @@ SINGLE = (
 )
 
 # Letters of the corpus's languages beyond ASCII, and usual signs in articles.
-LETTERS = "äöüßÄÖÜẞéèêëàâùûîïôçœæÿÉÈÊËÀÂÙÛÎÏÔÇŒÆŸñáíóúÁÍÓÚÑãõÃÕąćęłńśźżĄĆĘŁŃŚŹŻåøÅØšžčřěŠŽČşŞğĞıİőűòìýÝþðÞÐﬀﬁﬂﬃﬄ"
+LETTERS = "äöüßÄÖÜẞéèêëàâùûîïôçœæÿÉÈÊËÀÂÙÛÎÏÔÇŒÆŸñáíóúÁÍÓÚÑãõÃÕąćęłńśźżĄĆĘŁŃŚŹŻåøÅØšžčřěŠŽČşŞğĞıİőűòìýÝﬀﬁﬂﬃﬄ"
 SIGNS = "–—’‘“”„«»…§°±×÷µ·№€£¥©®™¶¬¿¡ªº²³¹⁰⁻⁺⁴⁵⁶⁷⁸⁹ⁿ†‡•‰′″≤≥≈≠√∞∂∆∇∑∏∫→←↔⇒∈∼   "
 
 DRAWING = "─│┌┐└┘├┤┬┴┼"
 
 STEP, REREAD = 1.0, 2.5  #: cost of a step that valid UTF-8 confirms, or of another one
+ENTITY = 2.0  #: cost of a character reference
 LEAST = 0.9  #: the lowest cost of a character
 SEVERAL = 3  #: stretches of a text that a chain must mend before it is tried on the others
 MOST_PASSES = 4  #: over one text
@@ -103,6 +104,8 @@ def _kind(c: str) -> tuple[float, str, str]:
 def cost(before: str, run: str, after: str) -> float:
     """How implausible ``run`` is between the characters ``before`` and ``after`` ('' at an end)."""
     total = 0.0
+    if "&" in run:  # a reference to a character beyond ASCII costs as much as the character and a step
+        total += ENTITY * sum(not html.unescape(m).isascii() for m in re.findall(_ENTITY, run))
     chars = [*([before] if before else []), *run, *([after] if after else [])]
     kinds = [_kind(c) for c in chars]
     first = 1 if before else 0

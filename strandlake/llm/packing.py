@@ -8,7 +8,7 @@ tight containers one without the item's source is taken.
 
 Items are spread by hash over shards of a bounded number of items, packed side by
 side. Containers that a shard leaves with much room are emptied and their items packed
-again with those of the other shards, until one shard holds them all.
+again with those of the other shards, until one shard holds them all or too few are left over less.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from strandlake.session import written
 SHARD = 20_000  #: items packed together at most, on average
 ROOM = 0.01  #: containers with more than this part of room left are packed again
 
+SHRINK = 0.7  #: packing goes on while it leaves at most this part of the items over
+
 _ITEM = "capacity long, doc_id {key}, piece long, first_token long, tokens long, source string, cluster string"
 _MANY = 1 << 32
 
@@ -110,15 +112,18 @@ def fill_containers(items: DataFrame, capacities: list[int], shard: int = SHARD,
         .select("capacity", "doc_id", "piece", "first_token", "tokens", "source", "cluster")
     )
     done: list[DataFrame] = []
-    turn = 0
+    turn, before = 0, None
     while True:
         # how many items each capacity has: as many numbers as capacities
-        shards = {r["capacity"]: -(-r["count"] // shard) for r in pieces.groupBy("capacity").count().collect()}
+        sizes = {r["capacity"]: r["count"] for r in pieces.groupBy("capacity").count().collect()}
+        shards = {c: -(-k // shard) for c, k in sizes.items()}
         if not shards:
             break
         of = F.create_map(*(F.lit(x).cast("long") for pair in shards.items() for x in pair))
         spread = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), of[F.col("capacity")]))
-        last = max(shards.values()) == 1
+        # Where clashes keep containers open, packing again no longer helps and they stay as they are.
+        last = max(shards.values()) == 1 or (before is not None and sum(sizes.values()) > SHRINK * before)
+        before = sum(sizes.values())
         pack = _packer(not last, room, turn)
         packed = spread.groupBy("capacity", "shard").applyInArrow(pack, _ITEM.format(key=key) + ", container string, room long, reopen boolean")
         packed = written(packed, "packed")
