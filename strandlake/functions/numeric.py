@@ -73,7 +73,7 @@ def batched(f: Callable[..., np.ndarray]) -> Callable[..., Column]:
     return run
 
 
-_log_gamma = np.vectorize(lambda x: math.lgamma(x) if x > 0 or x != math.floor(x) else math.inf, otypes=[float])
+_log_gamma = np.vectorize(lambda x: math.nan if x != x else math.inf if x <= 0 and x == math.floor(x) else math.lgamma(x), otypes=[float])
 
 
 def _lower(a: np.ndarray, x: np.ndarray) -> np.ndarray:

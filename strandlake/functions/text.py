@@ -30,7 +30,7 @@ def general(v: Column, digits: int = 6) -> Column:
     scale = F.when(exponent.between(-4, digits - 1), digits - 1 - exponent)
     fixed = F.coalesce(*(F.when(scale == k, F.format_string(f"%.{k}f", v)) for k in range(digits + 4)))
     fixed = F.regexp_replace(F.when(F.contains(fixed, F.lit(".")), F.regexp_replace(fixed, "0+$", "")).otherwise(fixed), r"\.$", "")
-    short = F.concat(mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    short = F.concat(mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.when(F.abs(exponent) < 10, "0").otherwise(""), F.abs(exponent).cast("string"))
     plain = F.when(v == 0, F.lit("0")).when(scale.isNotNull(), fixed).otherwise(short)
     special = F.when(F.isnan(v), F.lit("nan")).when(size == float("inf"), F.when(v > 0, F.lit("inf")).otherwise(F.lit("-inf")))
     return F.when(v.isNotNull(), F.coalesce(special, plain))

@@ -114,8 +114,8 @@ class DeliveryIndex:
             self.runs = [self._write(self.index().groupBy("prefix").applyInArrow(_merged, RUN_SCHEMA))]
 
     def kept(self) -> DataFrame:
-        """``record``: the kept record of each identifier."""
-        return self.index().select(F.explode("record").alias("record"))
+        """``kept_record``: the kept record of each identifier."""
+        return self.index().select(F.explode("record").alias("kept_record"))
 
 
 def keyed(records: DataFrame, *identity: Column) -> DataFrame:
@@ -169,10 +169,11 @@ def repeated_deliveries(records: DataFrame, rounds: int = 3, merge_every: int =
     table gives no rows; rows repeated with one ``record_id`` are one record.
     """
     kept = index_deliveries(records, rounds, merge_every).kept()
-    return records.select("record_id").join(kept, F.col("record_id") == F.col("record"), "left_anti")
+    return records.select("record_id").join(kept, F.col("record_id") == F.col("kept_record"), "left_anti")
 
 
 def delivered_once(records: DataFrame, rounds: int = 3, merge_every: int = 2) -> DataFrame:
     """The kept copy of each message, with all columns of ``records``."""
     kept = index_deliveries(records, rounds, merge_every).kept()
-    return records.join(kept, F.col("record_id") == F.col("record"), "left_semi").dropDuplicates(["record_id"])
+    kept = kept.withColumnRenamed("kept_record", "record_id")
+    return records.join(kept, "record_id", "left_semi").dropDuplicates(["record_id"])
