@@ -191,9 +191,10 @@ def search(before: str, run: str, after: str) -> tuple[str, tuple[str, ...], flo
     while queue and visited < MOST_STATES:
         _, _, state, taken, spent = heapq.heappop(queue)
         visited += 1
-        if spent + STEP + LEAST * len(state) / 4 >= best_total:
+        size = len(html.unescape(state)) if "&" in state else len(state)
+        if spent + STEP + LEAST * size / 4 >= best_total:
             continue
-        for name, new, price in steps(state, spent + REREAD + LEAST * len(state) < best_total):
+        for name, new, price in steps(state, spent + REREAD + LEAST * size < best_total):
             if hash(new) in seen:
                 continue
             seen.add(hash(new))

@@ -37,9 +37,11 @@ def p5_day_sketches(spark, d):
 
 
 def p5_percentiles(spark, d):
-    """Percentiles of each pair over all runs, put together from the sketches of separate days."""
-    whole = sketch.merged(p5_day_sketches(spark, d), by=["pair_i", "pair_j"])
-    return sketch.percentiles(whole, ["pair_i", "pair_j"], P5_AT, P5_ERROR).withColumn("value", F.round("value", 6))
+    """Percentiles of each pair over all runs on each day, and (day null) over all days, put together from the days' sketches."""
+    days = p5_day_sketches(spark, d)
+    whole = sketch.merged(days, by=["pair_i", "pair_j"]).withColumn("day", F.lit(None).cast("date"))
+    both = days.filter("day IS NOT NULL").unionByName(whole)
+    return sketch.percentiles(both, ["pair_i", "pair_j", "day"], P5_AT, P5_ERROR).withColumn("value", F.round("value", 6))
 
 
 def p6_ids(spark, d):
@@ -104,11 +106,12 @@ SQL = {
 FROM g GROUP BY run_id, replica_index, run""",
     "p5_day_sketches": _SKETCH + "SELECT pair_i, pair_j, day, sign, bucket, count(*) AS n FROM s GROUP BY 1, 2, 3, 4, 5",
     "p5_percentiles": _SKETCH
-    + f""", v AS (
-  SELECT pair_i, pair_j, CASE WHEN sign = 0 THEN 0 ELSE sign * pow({_GAMMA!r}::DOUBLE, bucket) * {2 / (_GAMMA + 1)!r}::DOUBLE END AS value, count(*) AS n
-  FROM s GROUP BY pair_i, pair_j, sign, bucket),
-u AS (SELECT *, sum(n) OVER (PARTITION BY pair_i, pair_j ORDER BY value ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY pair_i, pair_j) AS total FROM v),
+    + f""", g AS (SELECT pair_i, pair_j, day, sign, bucket FROM s WHERE day IS NOT NULL UNION ALL SELECT pair_i, pair_j, NULL, sign, bucket FROM s),
+v AS (
+  SELECT pair_i, pair_j, day, CASE WHEN sign = 0 THEN 0 ELSE sign * pow({_GAMMA!r}::DOUBLE, bucket) * {2 / (_GAMMA + 1)!r}::DOUBLE END AS value, count(*) AS n
+  FROM g GROUP BY pair_i, pair_j, day, sign, bucket),
+u AS (SELECT *, sum(n) OVER (PARTITION BY pair_i, pair_j, day ORDER BY value ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY pair_i, pair_j, day) AS total FROM v),
 q AS (SELECT unnest([{', '.join(str(q) for q in P5_AT)}])::DOUBLE AS q)
-SELECT pair_i, pair_j, CAST(total AS BIGINT) AS n, q, round(value, 6) AS value
+SELECT pair_i, pair_j, day, CAST(total AS BIGINT) AS n, q, round(value, 6) AS value
 FROM u, q WHERE upto >= greatest(1, ceil(q * total)) AND upto - n < greatest(1, ceil(q * total))""",
 }
