@@ -6,6 +6,8 @@ import math
 from collections.abc import Sequence
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,3 +106,33 @@ def pair_energy(sigma: Column | float, epsilon: Column | float, r: Column) -> Co
 def native_fraction(distance: Column, cutoff: Column, factor: float = 1.2) -> Column:
     """Share of contacts closer than factor * cutoff; 0 without contacts."""
     return F.coalesce(F.avg(F.when(distance < factor * cutoff, 1.0).otherwise(0.0)), F.lit(0.0))
+
+
+def superposed_rmsd(frames: DataFrame, reference: DataFrame, by: Names, atom: str, xyz: Names = ("x", "y", "z")) -> DataFrame:
+    """Distance of each frame to the reference after the best rotation and shift: by, n, rmsd.
+
+    Atoms meet by name; those that either lacks are left out. Only the sums that the rotation
+    hangs on are gathered per frame (a 3 x 3 matrix), and it is found where they lie.
+    """
+    left = frames.select(*by, atom, *(F.col(c).cast("double").alias(f"_a{k}") for k, c in enumerate(xyz)))
+    right = reference.select(atom, *(F.col(c).cast("double").alias(f"_b{k}") for k, c in enumerate(xyz)))
+    both = left.join(right, atom)
+    a, b = ([F.col(f"_{side}{k}") for k in range(3)] for side in "ab")
+    sums = both.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.array(*(F.covar_pop(p, q) for p in a for q in b)).alias("_c"),
+        (sum((F.var_pop(c) for c in (*a, *b)), F.lit(0.0))).alias("_v"),
+    )
+    names = [*by, "n", "rmsd"]
+
+    def solve(batches):
+        for batch in batches:
+            out = []
+            for c, v in zip(batch.column("_c").to_pylist(), batch.column("_v").to_pylist()):
+                m = np.array(c).reshape(3, 3)
+                u, d, w = np.linalg.svd(m)
+                d[2] *= np.sign(np.linalg.det(u) * np.linalg.det(w)) or 1.0  # no mirror image
+                out.append(math.sqrt(max(0.0, v - 2 * d.sum())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names[:-1]), pa.array(out, pa.float64())], names)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.select(*by, "n").schema)
+    return sums.mapInArrow(solve, f"{kinds}, rmsd double")

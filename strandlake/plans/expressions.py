@@ -214,8 +214,15 @@ q AS (SELECT a.event_type, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z
 SELECT event_type, count(*) AS n, round(sum(4 * 0.8 * ((0.9 / r) ** 12 - (0.9 / r) ** 6)), 4) + 0.0 AS energy FROM q WHERE r < 2 AND r > 0.5 GROUP BY 1"""
 )
 
+def superposed_rmsd(spark, d):
+    """Each day's mean place of every user, superposed on the means of all days."""
+    df = events(spark, d).withColumn("day", F.floor(F.col("x") / 24)).withColumn("h", F.col("x") % 24)
+    place = lambda *by: df.groupBy(*by, "user_id").agg(F.avg("h").alias("x"), (F.avg("y") / 10).alias("y"), F.count(F.lit(1)).cast("double").alias("z"))
+    return rounded(P.superposed_rmsd(place("day"), place(), ["day"], "user_id"), "rmsd")
+
+
 for _f in (
-    expr_special, expr_lgamma, julian_day, date_parse_formats, json_props, map_default, composition_specs, sequence_identity, general_format, minimum_image, apportion, lattice_occupancy,
+    superposed_rmsd, expr_special, expr_lgamma, julian_day, date_parse_formats, json_props, map_default, composition_specs, sequence_identity, general_format, minimum_image, apportion, lattice_occupancy,
     lattice_free, affine_map, contact_energy,
 ):
     QUERIES[_f.__name__] = _f
