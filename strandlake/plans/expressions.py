@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import dates as D
 from strandlake.functions import numeric as N
+from strandlake.functions import special as S
 from strandlake.functions import text as T
 from strandlake.operators import joins as J
 from strandlake.operators import spatial as P
@@ -64,6 +65,19 @@ def expr_special(spark, d):
     return rounded(df.select("l_quantity", "l_discount", "n", *(c.alias(k) for k, c in made.items())), *made)
 
 
+def expr_special_orders(spark, d):
+    """Bessel, Airy, Struve and hypergeometric functions, integrals and quantiles, at each different quantity and discount."""
+    df = table(spark, d, "lineitem").groupBy("l_quantity", "l_discount").agg(F.count(F.lit(1)).alias("n"))
+    q, x = F.col("l_quantity") / 10, F.col("l_discount") * 10 + 0.1
+    made = {
+        "bessel_j": S.bessel_j(q, x), "bessel_y": S.bessel_y(x, q), "bessel_i": S.bessel_i(q, x), "bessel_k": S.bessel_k(x, q), "airy_ai": S.airy_ai(x - 0.5), "airy_bi": S.airy_bi(x - 0.5),
+        "struve": S.struve(x, q), "confluent": S.confluent(x, q, x), "hypergeometric": S.hypergeometric(x, q, q + 1.5, x / 2), "expn": S.exponential_integral(F.floor(q) + 1.0, x),
+        "ci": S.cosine_integral(q), "chi": S.hyperbolic_cosine_integral(x), "shi": S.hyperbolic_sine_integral(x), "beta": S.beta(q, x), "zetac": S.zeta_less_one(q + 1.05),
+        "chi2_upper": S.chi2_upper(q, x / 2), "f_upper": S.f_upper(q, x * 5, x / 2), "student": S.student_quantile(q + 1, x / 2), "poisson": S.poisson_mean(q, x / 2),
+    }
+    return rounded(df.select("l_quantity", "l_discount", "n", *(c.alias(k) for k, c in made.items())), *made)
+
+
 def expr_lgamma(spark, d):
     df = table(spark, d, "lineitem").groupBy("l_quantity").agg(F.count(F.lit(1)).alias("n"))
     return rounded(df.select("l_quantity", "n", N.log_gamma(F.col("l_quantity") + 0.5).alias("lgamma"), N.gamma(F.col("l_quantity") / 10).alias("gamma")), "lgamma", "gamma")
@@ -222,7 +236,7 @@ def superposed_rmsd(spark, d):
 
 
 for _f in (
-    superposed_rmsd, expr_special, expr_lgamma, julian_day, date_parse_formats, json_props, map_default, composition_specs, sequence_identity, general_format, minimum_image, apportion, lattice_occupancy,
+    superposed_rmsd, expr_special, expr_special_orders, expr_lgamma, julian_day, date_parse_formats, json_props, map_default, composition_specs, sequence_identity, general_format, minimum_image, apportion, lattice_occupancy,
     lattice_free, affine_map, contact_energy,
 ):
     QUERIES[_f.__name__] = _f
