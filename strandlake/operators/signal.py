@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandlake.operators.sequence import in_set, numbered
+from strandlake.operators.spikes import blocked
 
 Names = Sequence[str]
 
@@ -105,3 +108,119 @@ def pruned(df: DataFrame, keys: Names, order: Names, x: str, y: str, dx: float,
     rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
     schema = T.StructType(rows.schema.fields)
     return rows.mapInArrow(partial(_thin, keys=list(keys), dx=dx, dy=dy, shape=shape), schema).drop("_x", "_y")
+
+
+SPLINE_BLOCK = 4096  #: points whose spline a task solves at a time
+SPLINE_REACH = 64  #: points beyond a block that are solved with it; each halves the influence of what lies behind
+
+
+def spline_curvature(x: np.ndarray, y: np.ndarray, open_left: bool = False, open_right: bool = False) -> np.ndarray:
+    """Second derivatives of the cubic spline through the points, by one sweep forth and one back.
+
+    The third derivative goes on across the second and the last but one point; at
+    an open end, where more points follow, the second derivative is taken as 0.
+    """
+    n = len(x)
+    if n < 3:
+        return np.zeros(n)
+    h, slope = np.diff(x), np.diff(np.diff(y) / np.diff(x))
+    low, diagonal, high = h[1:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:-1].copy()
+    if n == 3 and not (open_left or open_right):
+        return np.full(3, 2 * slope[0] / (h[0] + h[1]))
+    if not open_left:  # m0 = m1 - h0/h1 (m2 - m1)
+        diagonal[0] += h[0] + h[0] ** 2 / h[1]
+        if len(high):
+            high[0] -= h[0] ** 2 / h[1]
+    if not open_right:
+        diagonal[-1] += h[-1] + h[-1] ** 2 / h[-2]
+        if len(low):
+            low[-1] -= h[-1] ** 2 / h[-2]
+    right = 6 * slope
+    for k in range(1, n - 2):
+        f = low[k - 1] / diagonal[k - 1]
+        diagonal[k] -= f * high[k - 1]
+        right[k] -= f * right[k - 1]
+    m = np.zeros(n)
+    for k in range(n - 3, -1, -1):
+        m[k + 1] = (right[k] - (high[k] * m[k + 2] if k < n - 3 else 0.0)) / diagonal[k]
+    if not open_left:
+        m[0] = m[1] - h[0] / h[1] * (m[2] - m[1])
+    if not open_right:
+        m[-1] = m[-2] + h[-1] / h[-2] * (m[-2] - m[-3])
+    return m
+
+
+def _spline_blocks(batches: Iterator[pa.RecordBatch], keys: list[str], per_span: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    steps = np.arange(per_span) / per_span
+    for batch in batches:
+        parts = [[np.array([(p["_x"], p["_y"]) for p in rows], dtype=float).reshape(-1, 2) for rows in batch.column(c).to_pylist()] for c in ("before", "body", "after")]
+        found = []
+        for before, body, after in zip(*parts):
+            points = np.concatenate([before, body, after])
+            x, y = points[:, 0], points[:, 1]
+            m = spline_curvature(x, y, len(before) == SPLINE_REACH, len(after) == SPLINE_REACH)
+            at = np.arange(len(before), min(len(before) + len(body), len(x) - 1))
+            h, u = (x[at + 1] - x[at])[:, None], steps[None, :]
+            value = (1 - u) * y[at][:, None] + u * y[at + 1][:, None] + h * h / 6 * (((1 - u) ** 3 - (1 - u)) * m[at][:, None] + (u**3 - u) * m[at + 1][:, None])
+            found.append(((x[at][:, None] + h * u).ravel(), value.ravel()))
+        which = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+        made = [np.concatenate([f[k] for f in found]) if found else np.array([]) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(which) for k in keys), *(pa.array(v, pa.float64()) for v in made)], schema=schema)
+
+
+def cubic_spline(df: DataFrame, keys: Names, x: str, y: str, per_span: int) -> DataFrame:
+    """The cubic spline at ``per_span`` equal steps in each span between points: keys, x, y.
+
+    What a point does to the curve at least halves with each further point, so sets are cut into blocks
+    that are solved with ``SPLINE_REACH`` points on either side, to double precision. Points with a null, NaN
+    or infinite value are left out; those equal in x count once, with the mean y; a set of one point gives no
+    rows, one of two a line.
+    """
+    usable = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")) for c in (x, y)]
+    points = df.filter(usable[0] & usable[1]).groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(F.avg(F.col(y).cast("double")).alias("_y"))
+    points = points.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_x")).cast("long"))
+    blocks = blocked(points, list(keys), "_n", ["_x", "_y"], SPLINE_BLOCK, SPLINE_REACH).select(*keys, "before", "body", "after")
+    schema = T.StructType([*(points.schema[k] for k in keys), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+    return blocks.mapInArrow(partial(_spline_blocks, keys=list(keys), per_span=per_span, schema=to_arrow_schema(schema)), schema)
+
+
+def _straighten(batches: Iterator[pa.RecordBatch], keys: list[str], dy: float) -> Iterator[pa.RecordBatch]:
+    """Hold the last kept point, the slopes by which lines from it pass all points since within ``dy``, and the last point."""
+    current = held = carried = None  # held: the last point's row in this batch (-1: carried from an earlier one), x and y
+    x0 = y0 = low = high = 0.0
+    for batch in batches:
+        keep, first = [], None
+        key_rows = list(zip(*(batch.column(k).to_pylist() for k in keys))) if keys else [()] * batch.num_rows
+        for n, (key, x, y) in enumerate(zip(key_rows, batch.column("_x").to_pylist(), batch.column("_y").to_pylist())):
+            if held is not None and not (key == current and x > held[1] and low <= (y - y0) / (x - x0) <= high):
+                if held[0] < 0:
+                    first = carried
+                else:
+                    keep.append(held[0])
+                (_, x0, y0), held, low, high = held, None, -np.inf, np.inf
+            if key != current or x <= x0:
+                keep.append(n)
+                current, x0, y0, low, high = key, x, y, -np.inf, np.inf
+            else:
+                low, high, held = max(low, (y - dy - y0) / (x - x0)), min(high, (y + dy - y0) / (x - x0)), (n, x, y)
+        if first is not None:
+            yield first
+        yield batch.take(pa.array(keep, pa.int64()))
+        if held is not None and held[0] >= 0:
+            carried, held = batch.slice(held[0], 1), (-1, *held[1:])
+    if held is not None:
+        yield carried
+
+
+def straightened(df: DataFrame, keys: Names, order: Names, x: str, y: str, dy: float) -> DataFrame:
+    """Thin points that straight lines between the kept ones pass within ``dy``.
+
+    A line is drawn on from a kept point until a point since would lie farther than ``dy`` from it; the
+    point before is then kept. The first and the last of a set always are; where x doesn't increase a new
+    stretch begins. A set's points pass through one task in order, which holds one point. Points
+    with a null or NaN are left out.
+    """
+    rows = df.withColumn("_x", F.col(x).cast("double")).withColumn("_y", F.col(y).cast("double"))
+    rows = rows.filter("_x IS NOT NULL AND _y IS NOT NULL AND NOT isnan(_x) AND NOT isnan(_y)")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return rows.mapInArrow(partial(_straighten, keys=list(keys), dy=dy), T.StructType(rows.schema.fields)).drop("_x", "_y")

@@ -108,5 +108,13 @@ def prune_points(spark, d):
     return G.pruned(events(spark, d), ["event_type"], BY_TIME, "x", "y", 12.0, 25.0).select("event_type", "event_id")
 
 
-for _f in (regress_linear, regress_residuals, regress_polynomial, fit_nonlinear, fourier_terms, dominant_frequency, akima_curve, prune_points):
+def spline_curve(spark, d):
+    return rounded(G.cubic_spline(events(spark, d), USER, "x", "y", 4), "x", "y", digits=4)
+
+
+def straighten_points(spark, d):
+    return G.straightened(events(spark, d), ["event_type"], BY_TIME, "x", "y", 200.0).select("event_type", "event_id")
+
+
+for _f in (spline_curve, straighten_points, regress_linear, regress_residuals, regress_polynomial, fit_nonlinear, fourier_terms, dominant_frequency, akima_curve, prune_points):
     QUERIES[_f.__name__] = _f
