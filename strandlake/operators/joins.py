@@ -165,3 +165,61 @@ def nearest(df: DataFrame, medoids: DataFrame, vector: str) -> DataFrame:
 
     schema = T.StructType([*df.schema.fields, T.StructField("medoid", T.LongType()), T.StructField("distance", T.DoubleType())])
     return df.mapInArrow(assign, schema)
+
+
+def silhouettes(df: DataFrame, id_col: str, vector: str, label: str, queries: DataFrame) -> DataFrame:
+    """How well each query row lies in its own cluster, judged by all rows: id, label, own, other, silhouette.
+
+    ``own`` is the mean distance to the other rows of its label, ``other`` the least mean distance to
+    those of any other label, the silhouette their difference over the larger. queries: rows with the
+    columns of ``df``, a stated set; each task compares its rows with ``MOST_MEDOIDS`` queries at a time and
+    hands on one sum per query and label, so only sums are shuffled. A row alone in its label has own null and
+    silhouette 0; with one label only, other and silhouette are null. Rows with a null id, vector or label are left out.
+    """
+    known = F.col(id_col).isNotNull() & F.col(vector).isNotNull() & F.col(label).isNotNull()
+    rows = df.filter(known).select(F.col(id_col).alias("_id"), F.col(vector).alias("_v"), F.col(label).alias("_l"))
+    asked = queries.filter(known).select(F.col(id_col).alias("_id"), F.col(vector).alias("_v"), F.col(label).alias("_l"))
+    passes = max(1, -(-asked.count() * 5 // (4 * MOST_MEDOIDS)))  # blocks by hash, with a fifth to spare
+    key, kind = rows.schema["_id"].dataType.simpleString(), rows.schema["_l"].dataType.simpleString()
+
+    def against(block: int):
+        part = asked.filter(F.pmod(F.xxhash64("_id"), F.lit(passes)) == block).select("_id", "_v").dropDuplicates(["_id"]).limit(2 * MOST_MEDOIDS + 1).collect()
+        if len(part) > 2 * MOST_MEDOIDS:
+            raise ValueError("a block of queries is too large")
+        ids = [r["_id"] for r in part]
+        at = {i: k for k, i in enumerate(ids)}
+        q = np.array([r["_v"] for r in part], dtype=np.float64)
+
+        def add_up(batches):
+            sums: dict = {}
+            for batch in batches:
+                labels, own = batch.column("_l").to_pylist(), batch.column("_id").to_pylist()
+                for a in range(0, batch.num_rows if len(ids) else 0, 256):
+                    x = np.array(batch.column("_v").slice(a, 256).to_pylist(), dtype=np.float64)
+                    d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * x @ q.T, 0.0))
+                    counted = np.ones_like(d)
+                    for k, i in enumerate(own[a : a + 256]):
+                        if i in at:  # a row isn't compared with itself
+                            d[k, at[i]] = counted[k, at[i]] = 0.0
+                    named = np.array(labels[a : a + 256], dtype=object)
+                    for name in set(labels[a : a + 256]):
+                        total, n = sums.setdefault(name, (np.zeros(len(ids)), np.zeros(len(ids), dtype=np.int64)))
+                        which = named == name
+                        total += d[which].sum(axis=0)
+                        n += counted[which].sum(axis=0).astype(np.int64)
+            for name, (total, n) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("_id").type), pa.array([name] * len(ids), batch.schema.field("_l").type), pa.array(total), pa.array(n)], ["_id", "_l", "total", "n"])
+
+        return rows.mapInArrow(add_up, f"_id {key}, _l {kind}, total double, n long")
+
+    parts = [against(k) for k in range(passes)]
+    sums = parts[0]
+    for p in parts[1:]:
+        sums = sums.unionByName(p)
+    means = sums.groupBy("_id", "_l").agg((F.try_divide(F.sum("total"), F.sum("n"))).alias("mean"))
+    mine = asked.select("_id", F.col("_l").alias("_own")).dropDuplicates(["_id"])
+    both = means.join(mine, "_id").groupBy("_id", "_own")
+    own, other = F.max(F.when(F.col("_l") == F.col("_own"), F.col("mean"))), F.min(F.when(F.col("_l") != F.col("_own"), F.col("mean")))
+    out = both.agg(own.alias("own"), other.alias("other"))
+    value = F.when(F.col("other").isNull(), F.lit(None)).when(F.col("own").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("other") - F.col("own"), F.greatest("own", "other")), F.lit(0.0)))
+    return out.select(F.col("_id").alias(id_col), F.col("_own").alias(label), "own", "other", value.alias("silhouette"))

@@ -288,8 +288,21 @@ WITH q AS (SELECT a.vec_id, b.vec_id AS medoid, sqrt(list_sum(list_transform(lis
   FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0)
 SELECT vec_id, arg_min(medoid, (distance, medoid)) AS medoid, round(min(distance), 5) + 0.0 AS distance FROM q GROUP BY vec_id"""
 
+
+def embedding_silhouettes(spark, d):
+    """Silhouettes, among all embeddings, of those whose id is divisible by 100."""
+    df = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    return rounded(J.silhouettes(df, "vec_id", "embedding", "label", df.filter("vec_id % 100 = 0")), "own", "other", "silhouette", digits=5)
+
+
+SQL["embedding_silhouettes"] = """
+WITH m AS (SELECT a.vec_id, a.label, b.label AS l, avg(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)))) AS m
+  FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+s AS (SELECT vec_id, label, max(m) FILTER (l = label) AS own, min(m) FILTER (l <> label) AS other FROM m GROUP BY 1, 2)
+SELECT vec_id, label, round(own, 5) + 0.0 AS own, round(other, 5) + 0.0 AS other, round(CASE WHEN other IS NULL THEN NULL WHEN own IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END, 5) + 0.0 AS silhouette FROM s"""
+
 for _f in (
-    region_report, range_conditioned_extremes, assign_column, append_sets, split_sets, pack_sets, swap_sets, copy_and_kill_sets, move_set, nxy_unpivot, zip_join, lookup_left_null,
+    embedding_silhouettes, region_report, range_conditioned_extremes, assign_column, append_sets, split_sets, pack_sets, swap_sets, copy_and_kill_sets, move_set, nxy_unpivot, zip_join, lookup_left_null,
     lookup_left_default, semi_two_axis, intersect_states, outer_compare, asof_ffill, asof_join, interp_linear, range_category, contact_pairs, neighbour_count, nearest_medoid,
 ):
     QUERIES[_f.__name__] = _f
