@@ -36,3 +36,19 @@ def read_mutations(spark: SparkSession, path: str) -> DataFrame:
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Pair lines of log files with the cycle reported before them."""
     return parsed_log(lines(spark, path), ["file"], "line")
+
+
+def read_energies(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+    """file, line, name, value: lines of an energy tool that name one of ``terms`` and carry a number as second word."""
+    rows = lines(spark, path).withColumn("_w", F.split(F.trim("text"), r"\s+"))
+    named = rows.filter(F.exists(F.array(*(F.lit(t) for t in terms)), lambda t: F.contains("text", t)))
+    return named.select("file", "line", F.get("_w", 0).alias("name"), number(F.get("_w", 1)).alias("value")).filter("value IS NOT NULL")
+
+
+def scaled_contacts(rows: DataFrame, lam: float, native: float) -> DataFrame:
+    """Contact lines (column ``text``) with the fifth word replaced by ``native`` times ``lam``; all other lines as they are."""
+    body, note = F.split_part("text", F.lit(";"), F.lit(1)), F.regexp_extract("text", "(;.*)$", 1)
+    words = F.split(F.trim(body), r"\s+")
+    data = ~F.ltrim("text").startswith(";") & ~F.ltrim("text").startswith("[") & (F.size(words) >= 5)
+    new = F.format_string("%30s %30s %2s %14s %14s %s", *(F.get(words, k) for k in range(4)), F.format_string("%.8f", F.lit(native * lam)), note)
+    return rows.withColumn("text", F.when(data, new).otherwise(F.col("text")))
