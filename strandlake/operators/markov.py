@@ -252,3 +252,50 @@ def k_medoids(df: DataFrame, id_col: str, vector: str, k: int, sample: int = 4_0
             break
         chosen = moved
     return sorted(rows[c]["id"] for c in chosen), float(distance[:, chosen].min(axis=1).mean())
+
+
+def strong_labels(linked: np.ndarray) -> np.ndarray:
+    """The smallest member of the strongly connected component of each state of a square matrix of links."""
+    reach = linked | np.eye(len(linked), dtype=bool)
+    while True:
+        wider = (reach.astype(np.float32) @ reach.astype(np.float32)) > 0
+        if (wider == reach).all():
+            return (reach & reach.T).argmax(axis=1)
+        reach = wider
+
+
+def local_chains(counts: DataFrame, by: Names) -> DataFrame:
+    """The chain of each block on its own largest strongly connected part: by, state, pi, pi_forward.
+
+    counts: by, i, j, c, one row per pair of states. Among parts equal in size the one with the smallest member
+    is taken; states outside it are left out. ``pi`` belongs to the reversible chain (counts plus their
+    transpose), ``pi_forward`` to the counts as they are. A task holds one block's matrix over states, whose size is
+    checked, never its frames.
+    """
+    rows = counts.filter(F.col("i").isNotNull() & F.col("j").isNotNull()).groupBy(*by, "i", "j").agg(F.sum("c").cast("double").alias("c"))
+    schema = T.StructType([*(rows.schema[b] for b in by), T.StructField("state", rows.schema["i"].dataType), T.StructField("pi", T.DoubleType()), T.StructField("pi_forward", T.DoubleType())])
+
+    def chain(block: pa.Table) -> pa.Table:
+        i, j = block.column("i").to_pylist(), block.column("j").to_pylist()
+        names = sorted({*i, *j})
+        if len(names) > MOST_STATES:
+            raise ValueError(f"more than {MOST_STATES} states")
+        at = {s: k for k, s in enumerate(names)}
+        m = np.zeros((len(names), len(names)))
+        np.add.at(m, ([at[s] for s in i], [at[s] for s in j]), block.column("c").to_numpy())
+        labels = strong_labels(m > 0)
+        members = np.flatnonzero(labels == np.bincount(labels).argmax())
+        m = m[np.ix_(members, members)]
+        if not m.sum():  # a lone state that is only passed through
+            pi = forward = np.ones(len(members)) / len(members)
+        else:
+            pi = (m.sum(axis=0) + m.sum(axis=1)) / (2 * m.sum())
+            p = m / m.sum(axis=1, keepdims=True)
+            balance = np.vstack([p.T - np.eye(len(p)), np.ones(len(p))])
+            forward = np.linalg.lstsq(balance, np.append(np.zeros(len(p)), 1.0), rcond=None)[0]
+        kept = block.slice(0, 1).select(list(by)).take(pa.array([0] * len(members)))
+        for name, values in (("state", [names[k] for k in members]), ("pi", pi), ("pi_forward", forward)):
+            kept = kept.append_column(name, pa.array(values, block.schema.field("i").type if name == "state" else pa.float64()))
+        return kept
+
+    return rows.groupBy(*by).applyInArrow(chain, schema)

@@ -229,8 +229,44 @@ def embedding_medoids(spark, d):
     return near.groupBy("medoid").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("distance"), 5).alias("mean_distance"), F.round(F.max("distance"), 5).alias("max_distance"))
 
 
+def medoid_scan(spark, d):
+    """For several numbers of medoids: mean distance of all embeddings, and mean silhouette of those whose id is divisible by 100."""
+    df = table(spark, d, "embeddings").select("vec_id", "embedding")
+    out = None
+    for k in (5, 10, 20):
+        ids, _ = K.k_medoids(df, "vec_id", "embedding", k)
+        near = J.nearest(df, df.filter(F.col("vec_id").isin(ids)).select(F.col("vec_id").alias("medoid"), "embedding"), "embedding")
+        s = J.silhouettes(near, "vec_id", "embedding", "medoid", near.filter("vec_id % 100 = 0"))
+        row = near.agg(F.lit(k).alias("k"), F.avg("distance").alias("loss")).join(s.agg(F.lit(k).alias("k"), F.avg("silhouette").alias("silhouette")), "k")
+        out = row if out is None else out.unionByName(row)
+    return rounded(out, "loss", "silhouette", digits=5)
+
+
+def local_chains(spark, d):
+    """Stationary distribution of each run alone, on the largest strongly connected part of its states."""
+    return rounded(K.local_chains(counts_by_run(spark, d), ["run_id"]).select("run_id", "state", "pi"), "pi")
+
+
+SQL["local_chains"] = f"""
+WITH RECURSIVE {STATES_SQL.strip().removeprefix("WITH")},
+l AS (SELECT run_id, state AS i, lead(state) OVER (PARTITION BY run_id, replica_index ORDER BY cycle_no) AS j FROM t),
+c AS (SELECT run_id, i, j, count(*) AS c FROM l WHERE j IS NOT NULL GROUP BY 1, 2, 3),
+r AS (SELECT run_id, i, j FROM c UNION SELECT r.run_id, r.i, c.j FROM r JOIN c ON r.run_id = c.run_id AND r.j = c.i),
+s AS (SELECT run_id, i AS state FROM c UNION SELECT run_id, j FROM c),
+k AS (SELECT s.run_id, s.state, least(s.state, coalesce(min(b.i), s.state)) AS part FROM s LEFT JOIN (SELECT a.* FROM r a JOIN r b ON a.run_id = b.run_id AND a.i = b.j AND a.j = b.i) b ON s.run_id = b.run_id AND s.state = b.j GROUP BY 1, 2),
+g AS (SELECT run_id, arg_max(part, (n, -part)) AS part FROM (SELECT run_id, part, count(*) AS n FROM k GROUP BY 1, 2) GROUP BY 1),
+m AS (SELECT run_id, state FROM k JOIN g USING (run_id, part)),
+e AS (SELECT c.* FROM c JOIN m a ON c.run_id = a.run_id AND c.i = a.state JOIN m b ON c.run_id = b.run_id AND c.j = b.state),
+w AS (SELECT run_id, state, sum(c) AS c FROM (SELECT run_id, i AS state, c FROM e UNION ALL SELECT run_id, j, c FROM e) GROUP BY 1, 2)
+SELECT m.run_id, m.state, round(coalesce(c / sum(c) OVER (PARTITION BY m.run_id), 1.0 / count(*) OVER (PARTITION BY m.run_id))::DOUBLE, 6) + 0.0 AS pi FROM m LEFT JOIN w USING (run_id, state)"""
+
+
+def local_chains_forward(spark, d):
+    return rounded(K.local_chains(counts_by_run(spark, d), ["run_id"]), "pi", "pi_forward")
+
+
 for _f in (
-    transition_counts, transition_probs, reversible_probs, stationary_states, lag_scan_counts, counts_by_run, matrix_statistics, state_populations, top_states, entropy_efficiency,
+    medoid_scan, local_chains, local_chains_forward, transition_counts, transition_probs, reversible_probs, stationary_states, lag_scan_counts, counts_by_run, matrix_statistics, state_populations, top_states, entropy_efficiency,
     mass_cutoff, delta_g_by_run, weighted_fes_grid, implied_timescales, chapman_kolmogorov, connected_states, validity_checks, embedding_components, lagged_components, embedding_medoids,
 ):
     QUERIES[_f.__name__] = _f
