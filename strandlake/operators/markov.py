@@ -7,19 +7,22 @@ is a matrix over features or states, whose size is checked (``MOST_DIMENSIONS``,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from strandlake.operators.sequence import lagged_pairs
 
 Names = Sequence[str]
 MOST_DIMENSIONS = 5_000
 MOST_STATES = 5_000
+CANDIDATES = 256  #: members of a cluster whose distances to all others are added up in one pass
 
 
 def transition_counts(df: DataFrame, block: Names, order: Names, state: str, lag: int) -> DataFrame:
@@ -228,30 +231,147 @@ def projected(df: DataFrame, vector: str, mean: np.ndarray, components: np.ndarr
     return df.mapInArrow(project, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
 
 
-def k_medoids(df: DataFrame, id_col: str, vector: str, k: int, sample: int = 4_000, seed: int = 42, rounds: int = 50) -> tuple[list, float]:
-    """Ids of ``k`` medoids and the mean distance to them in the sample.
+def _assigned(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, vectors, nearest centre (ties: the first) and distance to it, batch by batch."""
+    for batch in batches:
+        x = np.asarray(batch.column("v").flatten(), dtype=np.float64).reshape(-1, centres.shape[1])
+        if len(x):
+            square = np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
+            label = square.argmin(axis=1)
+            yield batch.column("id"), x, label, np.sqrt(square[np.arange(len(x)), label])
+
+
+def _cluster_totals(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows, distance to the centre and vectors of each cluster, added up over a task."""
+    n, loss, total = np.zeros(len(centres), dtype=np.int64), np.zeros(len(centres)), np.zeros(centres.shape)
+    for _, x, label, distance in _assigned(batches, centres):
+        n += np.bincount(label, minlength=len(centres))
+        loss += np.bincount(label, distance, minlength=len(centres))
+        np.add.at(total, label, x)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at]), pa.array(loss[at]), pa.array([*total[at]], pa.list_(pa.float64()))], ["cluster", "n", "loss", "v"])
+
+
+def _first_members(batches: Iterator[pa.RecordBatch], centres: np.ndarray, means: np.ndarray, after: list, below: np.ndarray, most: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The ``most`` members of each cluster nearest its mean, of those behind ``after`` (distance, id) and nearer than ``below``."""
+    held: list[list] = [[] for _ in centres]
+    for ids, x, label, _ in _assigned(batches, centres):
+        r = np.sqrt(((x - means[label]) ** 2).sum(axis=1))
+        for c in np.unique(label):
+            limit = min(below[c], held[c][-1][0] if len(held[c]) == most else np.inf)
+            at = np.flatnonzero((label == c) & (r <= limit) & (r < below[c]) & (r >= (after[c][0] if after[c] else 0.0)))
+            rows = [(float(r[k]), i, x[k]) for k, i in zip(at, ids.take(pa.array(at)).to_pylist())]
+            held[c] = sorted([*held[c], *(q for q in rows if after[c] is None or q[:2] > after[c])], key=lambda q: q[:2])[:most]
+    flat = [(c, *q) for c, rows in enumerate(held) for q in rows]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([q[0] for q in flat], pa.int32()), pa.array([q[1] for q in flat], pa.float64()), pa.array([q[2] for q in flat], kind), pa.array([q[3] for q in flat], pa.list_(pa.float64()))],
+        ["cluster", "r", "id", "v"],
+    )
+
+
+def _candidate_totals(batches: Iterator[pa.RecordBatch], centres: np.ndarray, candidates: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Distances from a task's rows to each candidate of their cluster, added up."""
+    total = [np.zeros(len(c)) for c in candidates]
+    for _, x, label, _ in _assigned(batches, centres):
+        for c in np.unique(label):
+            if len(candidates[c]):
+                a, b = x[label == c] - centres[c], candidates[c] - centres[c]
+                total[c] += np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * a @ b.T, 0.0)).sum(axis=0)
+    flat = [(c, k, t) for c, each in enumerate(total) for k, t in enumerate(each)]
+    yield pa.RecordBatch.from_arrays([pa.array([q[k] for q in flat], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.float64()))], ["cluster", "candidate", "total"])
+
+
+def _totals_by_cluster(rows: DataFrame, centres: np.ndarray) -> dict[int, tuple[int, float, np.ndarray]]:
+    """cluster: rows, summed distance, mean vector. Tasks' sums are added up on Spark."""
+    schema = "cluster int, n long, loss double, v array<double>"
+
+    def added(t: pa.Table) -> pa.Table:
+        v = np.sum([np.asarray(x.values) for x in t.column("v")], axis=0)
+        return pa.table({"cluster": t.column("cluster").slice(0, 1), "n": [sum(t.column("n").to_pylist())], "loss": [sum(t.column("loss").to_pylist())], "v": pa.array([v], pa.list_(pa.float64()))})
+
+    found = rows.mapInArrow(partial(_cluster_totals, centres=centres), schema).groupBy("cluster").applyInArrow(added, schema).collect()
+    return {r["cluster"]: (r["n"], r["loss"], np.array(r["v"]) / r["n"]) for r in found}
+
+
+def _members(rows: DataFrame, centres: np.ndarray, means: np.ndarray, after: list, below: np.ndarray, most: int) -> list[list]:
+    """(distance to the mean, id, vector) of at most ``most`` members of each cluster, in order; see :func:`_first_members`."""
+    schema = T.StructType([T.StructField("cluster", T.IntegerType()), T.StructField("r", T.DoubleType()), rows.schema["id"], T.StructField("v", T.ArrayType(T.DoubleType()))])
+    step = partial(_first_members, centres=centres, means=means, after=after, below=below, most=most, kind=to_arrow_type(rows.schema["id"].dataType))
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("r", "id"))
+    out: list[list] = [[] for _ in centres]
+    for q in rows.mapInArrow(step, schema).withColumn("_rank", rank).filter(F.col("_rank") <= most).orderBy("cluster", "_rank").collect():
+        out[q["cluster"]].append((q["r"], q["id"], np.array(q["v"])))
+    return out
 
-    They are fitted on the ``sample`` rows of smallest hash, a documented bound; assign all rows with
-    :func:`strandlake.operators.joins.nearest`. Start: farthest points in turn; then each medoid
-    moves to the member nearest all others of its cluster until nothing moves.
+
+def medoid_start(df: DataFrame, id_col: str, vector: str, k: int) -> list[tuple]:
+    """(id, vector) of ``k`` rows far apart, fewer if there aren't so many different vectors.
+
+    The row nearest the mean of all, then the row farthest from those before, one pass each: the start
+    for fewer medoids is the beginning of that for more.
     """
-    rows = df.filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v")).orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(sample).collect()
-    x = np.array([r["v"] for r in rows], dtype=np.float64)
-    k = min(k, len(rows))
-    if not k:
-        return [], 0.0
-    sq = (x**2).sum(axis=1)
-    distance = np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2 * x @ x.T, 0.0))
-    chosen = [int(distance.sum(axis=1).argmin())]
+    rows = df.filter(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    one = rows.first()
+    if one is None or k < 1:
+        return []
+    mean = _totals_by_cluster(rows, np.zeros((1, len(one["v"]))))[0][2][None, :]
+    chosen = [q[1:] for q in _members(rows, mean, mean, [None], np.array([np.inf]), 1)[0]]
+    schema = T.StructType([T.StructField("r", T.DoubleType()), rows.schema["id"], T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def farthest(batches, centres, kind):
+        best = None
+        for ids, x, _, distance in _assigned(batches, centres):
+            top = distance.max()
+            if best is None or top >= best[0]:
+                same = np.flatnonzero(distance == top)
+                name, at = min(zip(ids.take(pa.array(same)).to_pylist(), same))
+                if best is None or (-top, name) < (-best[0], best[1]):
+                    best = (top, name, x[at])
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], kind), pa.array([best[2]], pa.list_(pa.float64()))], ["r", "id", "v"])
+
     while len(chosen) < k:
-        chosen.append(int(distance[:, chosen].min(axis=1).argmax()))
-    for _ in range(rounds):
-        label = distance[:, chosen].argmin(axis=1)
-        moved = [int((m := np.flatnonzero(label == c))[distance[np.ix_(m, m)].sum(axis=1).argmin()]) if (label == c).any() else chosen[c] for c in range(k)]
-        if moved == chosen:
+        step = partial(farthest, centres=np.array([v for _, v in chosen]), kind=to_arrow_type(rows.schema["id"].dataType))
+        top = rows.mapInArrow(step, schema).orderBy(F.desc("r"), "id").first()
+        if not top["r"]:
             break
+        chosen.append((top["id"], np.array(top["v"])))
+    return chosen
+
+
+def k_medoids(df: DataFrame, id_col: str, vector: str, k: int, start: Sequence[tuple] | None = None) -> tuple[list, float]:
+    """Ids of ``k`` medoids and the mean distance of all rows to their nearest one. Rows with a null are left out.
+
+    From :func:`medoid_start` (``start``: one that is known already) each medoid moves to the member with the least
+    distance to all others of its cluster, until nothing moves. Members are tried in order of their
+    distance r to the cluster's mean, ``CANDIDATES`` in one pass, until n * r, which no total is below, reaches the least total found: no
+    member is left out. Every pass runs over all rows where they lie and adds up in the tasks; to the driver come
+    the candidates' totals. As distances within a cluster are the problem itself, the work may grow with its square.
+    """
+    rows = df.filter(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    chosen = list((medoid_start(df, id_col, vector, k) if start is None else start)[:k])
+    if not chosen:
+        return [], 0.0
+    while True:
+        centres = np.array([v for _, v in chosen])
+        totals = _totals_by_cluster(rows, centres)
+        n, least = np.array([totals[c][0] for c in range(len(chosen))]), np.array([totals[c][1] for c in range(len(chosen))])
+        loss, means = float(least.sum() / n.sum()), np.array([totals[c][2] for c in range(len(chosen))])
+        moved, after, open_ = list(chosen), [None] * len(chosen), np.ones(len(chosen), dtype=bool)
+        while open_.any():
+            tried = _members(rows, centres, means, after, np.where(open_, least / n * (1 + 1e-9), -1.0), CANDIDATES)
+            step = partial(_candidate_totals, centres=centres, candidates=[np.array([q[2] for q in c]).reshape(-1, centres.shape[1]) for c in tried])
+            if any(tried):
+                for q in rows.mapInArrow(step, "cluster int, candidate int, total double").groupBy("cluster", "candidate").agg(F.sum("total").alias("total")).orderBy("cluster", "candidate").collect():
+                    c = q["cluster"]
+                    if q["total"] < least[c] * (1 - 1e-9):
+                        least[c], moved[c] = q["total"], tried[c][q["candidate"]][1:]
+            for c, found in enumerate(tried):
+                open_[c] &= len(found) == CANDIDATES
+                after[c] = found[-1][:2] if found else after[c]
+        if [i for i, _ in moved] == [i for i, _ in chosen]:
+            return sorted(i for i, _ in chosen), loss
         chosen = moved
-    return sorted(rows[c]["id"] for c in chosen), float(distance[:, chosen].min(axis=1).mean())
 
 
 def strong_labels(linked: np.ndarray) -> np.ndarray:

@@ -221,7 +221,7 @@ def lagged_components(spark, d):
 
 
 def embedding_medoids(spark, d):
-    """k-medoids fitted on a bounded sample; every embedding assigned, clusters summed up."""
+    """k-medoids of all embeddings; each assigned, clusters summed up."""
     df = table(spark, d, "embeddings").select("vec_id", "embedding")
     ids, _ = K.k_medoids(df, "vec_id", "embedding", 10)
     centres = df.filter(F.col("vec_id").isin(ids)).select(F.col("vec_id").alias("medoid"), "embedding")
@@ -232,9 +232,9 @@ def embedding_medoids(spark, d):
 def medoid_scan(spark, d):
     """For several numbers of medoids: mean distance of all embeddings, and mean silhouette of those whose id is divisible by 100."""
     df = table(spark, d, "embeddings").select("vec_id", "embedding")
-    out = None
+    out, start = None, K.medoid_start(df, "vec_id", "embedding", 20)
     for k in (5, 10, 20):
-        ids, _ = K.k_medoids(df, "vec_id", "embedding", k)
+        ids, _ = K.k_medoids(df, "vec_id", "embedding", k, start)
         near = J.nearest(df, df.filter(F.col("vec_id").isin(ids)).select(F.col("vec_id").alias("medoid"), "embedding"), "embedding")
         s = J.silhouettes(near, "vec_id", "embedding", "medoid", near.filter("vec_id % 100 = 0"))
         row = near.agg(F.lit(k).alias("k"), F.avg("distance").alias("loss")).join(s.agg(F.lit(k).alias("k"), F.avg("silhouette").alias("silhouette")), "k")
