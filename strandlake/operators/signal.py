@@ -18,19 +18,42 @@ from strandlake.operators.spikes import blocked
 Names = Sequence[str]
 
 
-def spectrum(df: DataFrame, keys: Names, order: Names, y: str, frequencies: int) -> DataFrame:
-    """The lowest ``frequencies`` terms of the discrete Fourier transform over n: keys, k, re, im, magnitude, phase.
+def spectrum(df: DataFrame, keys: Names, order: Names, y: str, frequencies: int | None = None) -> DataFrame:
+    """Terms of the discrete Fourier transform over n: keys, k, re, im, magnitude, phase.
 
-    Every point adds its share to each term, on the map side first; no set is ever
-    gathered. Terms from n/2 on are left out. ``magnitude`` counts both signs of a frequency.
+    Without ``frequencies`` all terms k = 0..n/2 of each set, else only so many of the lowest. Every point adds
+    its share to each term, on the map side first; no set is ever gathered. ``magnitude`` counts both
+    signs of a frequency; in the whole spectrum the one at n/2, which has one sign only, counts once.
     """
     rows = numbered(df, keys, order).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    if frequencies is None:
+        return _whole_spectrum(rows.select(*keys, "pos", "_n", F.col(y).alias("_y")), keys)
     terms = rows.select(*keys, "pos", "_n", F.col(y).alias("_y"), F.explode(F.sequence(F.lit(0), F.lit(frequencies - 1))).alias("k")).filter(F.col("k") * 2 <= F.col("_n"))
     angle = 2 * F.pi() * ((F.col("pos") * F.col("k")) % F.col("_n")) / F.col("_n")
     sums = terms.groupBy(*keys, "k").agg((F.sum(F.col("_y") * F.cos(angle)) / F.max("_n")).alias("re"), (-F.sum(F.col("_y") * F.sin(angle)) / F.max("_n")).alias("im"))
     return sums.withColumn("magnitude", 2 * F.hypot("re", "im")).withColumn("phase", -F.atan2("im", "re"))
 
 
+def _whole_spectrum(rows: DataFrame, keys: Names) -> DataFrame:
+    """All terms from keys, pos, _n, _y in two grouped sums over pos = a * m + b, where m is the largest divisor of n up to its root.
+
+    The sum over a hangs on k modulo n / m only, so a set costs n * (n / m + m / 2) products, n * n / 2 where n is prime.
+    """
+    root = F.floor(F.sqrt(F.col("_n").cast("double")))
+    m = F.array_max(F.filter(F.sequence(F.lit(1).cast("long"), root), lambda q: F.col("_n") % q == 0))
+    rows = rows.withColumn("_m", m).withColumn("_l", (F.col("_n") / F.col("_m")).cast("long"))
+    inner = rows.select(*keys, "_n", "_l", "_m", "_y", (F.col("pos") % F.col("_m")).alias("_b"), F.floor(F.col("pos") / F.col("_m")).alias("_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_l") - 1)).alias("_k"))
+    angle = 2 * F.pi() * ((F.col("_a") * F.col("_k")) % F.col("_l")) / F.col("_l")
+    inner = inner.groupBy(*keys, "_b", "_k").agg(F.sum(F.col("_y") * F.cos(angle)).alias("_u"), (-F.sum(F.col("_y") * F.sin(angle))).alias("_v"), *(F.max(c).alias(c) for c in ("_n", "_l", "_m")))
+    each = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1), lambda q: q * F.col("_l") + F.col("_k"))).alias("k")
+    outer = inner.select(*keys, "_b", "_u", "_v", "_n", each).filter(F.col("k") * 2 <= F.col("_n"))
+    turn = 2 * F.pi() * ((F.col("_b") * F.col("k")) % F.col("_n")) / F.col("_n")
+    re, im = F.cos(turn) * F.col("_u") + F.sin(turn) * F.col("_v"), F.cos(turn) * F.col("_v") - F.sin(turn) * F.col("_u")
+    sums = outer.groupBy(*keys, F.col("k").cast("int").alias("k")).agg((F.sum(re) / F.max("_n")).alias("re"), (F.sum(im) / F.max("_n")).alias("im"), F.max("_n").alias("_n"))
+    signs = F.when(F.col("k") * 2 == F.col("_n"), 1).otherwise(2)
+    return sums.withColumn("magnitude", signs * F.hypot("re", "im")).withColumn("phase", -F.atan2("im", "re")).drop("_n")
+
+
 def inverse_spectrum(terms: DataFrame, keys: Names, lengths: DataFrame) -> DataFrame:
     """Points of real series from terms k = 0..n/2 (see :func:`spectrum`): keys, pos, y. lengths: keys, n."""
     rows = terms.join(lengths, list(keys)).select(*keys, "k", "re", "im", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("pos"))
@@ -39,8 +62,8 @@ def inverse_spectrum(terms: DataFrame, keys: Names, lengths: DataFrame) -> DataF
     return rows.groupBy(*keys, "pos").agg(F.sum(twice * (F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle))).alias("y"))
 
 
-def dominant_frequency(df: DataFrame, keys: Names, order: Names, y: str, frequencies: int) -> DataFrame:
-    """The frequency index above 0 of largest magnitude, the smallest among equals: keys, k, magnitude."""
+def dominant_frequency(df: DataFrame, keys: Names, order: Names, y: str, frequencies: int | None = None) -> DataFrame:
+    """The frequency index above 0 of largest magnitude, the smallest among equals: keys, k, magnitude. ``frequencies`` as in :func:`spectrum`."""
     terms = spectrum(df, keys, order, y, frequencies).filter("k > 0").withColumn("magnitude", F.round("magnitude", 9))
     best = terms.groupBy(*keys).agg(F.min(F.struct((-F.col("magnitude")).alias("m"), "k")).alias("b"))
     return best.select(*keys, F.col("b.k").alias("k"), (-F.col("b.m")).alias("magnitude"))

@@ -78,6 +78,7 @@ def fit_nonlinear(spark, d):
 
 
 def fourier_terms(spark, d):
+    """The 8 lowest terms only, as in the SQL; all of them: fourier_spectrum."""
     return rounded(G.spectrum(events(spark, d), USER, BY_TIME, "y", 8).drop("phase"), "re", "im", "magnitude", digits=5)
 
 
@@ -90,6 +91,7 @@ SQL["fourier_terms"] = _FOURIER + "SELECT user_id, k, round(re, 5) + 0.0 AS re,
 
 
 def dominant_frequency(spark, d):
+    """The strongest of the 8 lowest terms only, as in the SQL; of all: strongest_frequency."""
     return rounded(G.dominant_frequency(events(spark, d), USER, BY_TIME, "y", 8), "magnitude", digits=5)
 
 
@@ -100,6 +102,32 @@ SELECT user_id, arg_min(k, (-m, k)) AS k, round(max(m), 5) + 0.0 AS magnitude FR
 )
 
 
+def fourier_spectrum(spark, d):
+    """All terms of each user, k = 0..n/2."""
+    return rounded(G.spectrum(events(spark, d), USER, BY_TIME, "y").drop("phase"), "re", "im", "magnitude", digits=5)
+
+
+_SPECTRUM = (
+    EVENTS_SQL
+    + """, t AS (SELECT user_id, k::INTEGER AS k, max(n) AS n, sum(y * cos(2 * pi() * ((pos * k) % n) / n)) / max(n) AS re, -sum(y * sin(2 * pi() * ((pos * k) % n) / n)) / max(n) AS im
+  FROM (SELECT *, unnest(generate_series(0, n // 2)) AS k FROM e) GROUP BY 1, 2),
+f AS (SELECT user_id, k, re, im, CASE WHEN 2 * k = n THEN 1 ELSE 2 END * sqrt(re * re + im * im) AS m FROM t)"""
+)
+SQL["fourier_spectrum"] = _SPECTRUM + "SELECT user_id, k, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im, round(m, 5) + 0.0 AS magnitude FROM f"
+
+
+def strongest_frequency(spark, d):
+    """The strongest of all terms of each user above k = 0."""
+    return rounded(G.dominant_frequency(events(spark, d), USER, BY_TIME, "y"), "magnitude", digits=5)
+
+
+SQL["strongest_frequency"] = (
+    _SPECTRUM
+    + """, g AS (SELECT user_id, k, round(m, 9) AS m FROM f WHERE k > 0)
+SELECT user_id, arg_min(k, (-m, k)) AS k, round(max(m), 5) + 0.0 AS magnitude FROM g GROUP BY 1"""
+)
+
+
 def akima_curve(spark, d):
     return rounded(G.akima(events(spark, d), USER, BY_TIME, "x", "y", 4), "x", "y", digits=4)
 
@@ -116,5 +144,5 @@ def straighten_points(spark, d):
     return G.straightened(events(spark, d), ["event_type"], BY_TIME, "x", "y", 200.0).select("event_type", "event_id")
 
 
-for _f in (spline_curve, straighten_points, regress_linear, regress_residuals, regress_polynomial, fit_nonlinear, fourier_terms, dominant_frequency, akima_curve, prune_points):
+for _f in (spline_curve, straighten_points, regress_linear, regress_residuals, regress_polynomial, fit_nonlinear, fourier_terms, dominant_frequency, fourier_spectrum, strongest_frequency, akima_curve, prune_points):
     QUERIES[_f.__name__] = _f
