@@ -143,6 +143,30 @@ def components(edges: DataFrame, states: DataFrame, rounds: int = 64) -> DataFra
     return spark.createDataFrame([(s, names[int(np.flatnonzero(together[k])[0])]) for k, s in enumerate(names)], schema)
 
 
+def dense(df: DataFrame, by: Names, feature: Names, value: str, out: str = "v") -> DataFrame:
+    """by, ``out``: one array for each value of ``by``, with a place for each combination of ``feature`` that occurs, in order; 0 where it has no row.
+
+    df: by, feature, value, each combination once. The number of places is checked (``MOST_DIMENSIONS``).
+    """
+    places = df.select(*feature).distinct().limit(MOST_DIMENSIONS + 1).collect()
+    if len(places) > MOST_DIMENSIONS:
+        raise ValueError(f"more than {MOST_DIMENSIONS} dimensions")
+    schema = T.StructType([*(df.schema[c] for c in feature), T.StructField("_at", T.IntegerType())])
+    at = df.sparkSession.createDataFrame([(*p, k) for k, p in enumerate(sorted(map(tuple, places)))], schema)
+    rows = df.join(F.broadcast(at), list(feature)).groupBy(*by).agg(F.collect_list("_at").alias("_at"), F.collect_list(F.col(value).cast("double")).alias("_v"))
+
+    def spread(batches):
+        for batch in batches:
+            where, values = batch.column("_at"), batch.column("_v")
+            x = np.zeros((batch.num_rows, len(places)))
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(where.value_lengths()))
+            x[row, np.asarray(where.flatten())] = np.asarray(values.flatten())
+            offsets = pa.array(np.arange(batch.num_rows + 1) * len(places), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], [*by, out])
+
+    return rows.mapInArrow(spread, T.StructType([*(rows.schema[c] for c in by), T.StructField(out, T.ArrayType(T.DoubleType()))]))
+
+
 def gram(df: DataFrame, vector: str, pair: str | None = None) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """n, sum of the vectors, sum of the second vectors, sum of their outer products, over all rows.
 

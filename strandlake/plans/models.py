@@ -8,7 +8,7 @@ from strandlake.operators import aggregates as A
 from strandlake.operators import joins as J
 from strandlake.operators import markov as K
 from strandlake.plans.common import STATES_SQL, rounded, trajectories
-from strandlake.session import table
+from strandlake.session import table, written
 
 QUERIES, SQL = {}, {}
 BLOCK, FRAME = ["run_id", "replica_index"], ["cycle_no"]
@@ -212,10 +212,19 @@ def embedding_components(spark, d):
     return K.projected(df, "embedding", mean, parts).select("vec_id", F.transform("projection", lambda v: F.round(v, 6)).alias("projection"))
 
 
+def replica_shares(frames, cycles):
+    """run_id, w, v: in each window of ``cycles`` cycles the share of each replica's reports in each state.
+
+    v has one feature for each replica and state that occur together anywhere; one without reports in a window is 0 there.
+    """
+    n = frames.groupBy("run_id", F.floor(F.col("cycle_no") / cycles).alias("w"), "replica_index", "state").agg(F.count(F.lit(1)).alias("n"))
+    share = n.withColumn("share", F.col("n") / F.sum("n").over(K.Window.partitionBy("run_id", "w", "replica_index")))
+    return K.dense(share, ["run_id", "w"], ["replica_index", "state"], "share")
+
+
 def lagged_components(spark, d):
-    """Slow coordinates of each run, from the shares of states in successive windows of five cycles."""
-    df = trajectories(spark, d).withColumn("w", F.floor(F.col("cycle_no") / 5))
-    shares = df.groupBy("run_id", "w").agg(F.array(*(F.avg(F.when((F.col("state") % 4 == k) & (F.col("replica_index") < 6), 1.0).otherwise(0.0)) for k in range(4))).alias("v"))
+    """Slow coordinates of each run, from the shares of states of all replicas in successive windows of five cycles."""
+    shares = written(replica_shares(trajectories(spark, d), 5), "shares")
     mean, eigen, parts = K.time_lagged_components(shares, ["run_id"], ["w"], "v", 1, 2)
     return K.projected(shares, "v", mean, parts).select("run_id", "w", F.transform("projection", lambda v: F.round(v, 5)).alias("projection"))
 
