@@ -34,13 +34,13 @@ def block_counts(df: DataFrame, block: Names, order: Names, state: str, lag: int
     return lagged_pairs(df, block, order, state, lag).groupBy(*block, "i", "j").agg(F.count(F.lit(1)).alias("c"))
 
 
-def lag_scan(df: DataFrame, block: Names, order: Names, state: str, lags: Sequence[int]) -> DataFrame:
-    """lag, i, j, c for several lags in one pass; a block counts only at lags under half its length."""
+def lag_scan(df: DataFrame, block: Names, order: Names, state: str, lags: Sequence[int], by: Names = ()) -> DataFrame:
+    """by, lag, i, j, c for several lags in one pass; a block counts only at lags under half its length. by: columns of the block."""
     w = Window.partitionBy(*block).orderBy(*order)
     n = F.count(F.lit(1)).over(Window.partitionBy(*block))
-    rows = df.select(F.col(state).alias("i"), n.alias("_n"), *(F.lead(state, k).over(w).alias(f"_l{k}") for k in lags))
-    rows = rows.select("i", "_n", F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"_l{k}").alias("j")) for k in lags))).alias("p"))
-    return rows.filter("p.j IS NOT NULL AND i IS NOT NULL AND p.lag * 2 < _n").groupBy("p.lag", "i", "p.j").agg(F.count(F.lit(1)).alias("c"))
+    rows = df.select(*by, F.col(state).alias("i"), n.alias("_n"), *(F.lead(state, k).over(w).alias(f"_l{k}") for k in lags))
+    rows = rows.select(*by, "i", "_n", F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"_l{k}").alias("j")) for k in lags))).alias("p"))
+    return rows.filter("p.j IS NOT NULL AND i IS NOT NULL AND p.lag * 2 < _n").groupBy(*by, "p.lag", "i", "p.j").agg(F.count(F.lit(1)).alias("c"))
 
 
 def reversible(counts: DataFrame, by: Names = ()) -> DataFrame:
@@ -443,3 +443,38 @@ def local_chains(counts: DataFrame, by: Names) -> DataFrame:
         return kept
 
     return rows.groupBy(*by).applyInArrow(chain, schema)
+
+
+def local_timescales(counts: DataFrame, by: Names, lag: str = "lag") -> DataFrame:
+    """Eigenvalues of the reversible chain of each block and lag: by, lag, n_states, rank, eigenvalue, timescale.
+
+    counts: by, lag, i, j, c. T comes from the counts plus their transpose, so pi^1/2 T pi^-1/2 is symmetric and
+    all its eigenvalues are real; they come out in descending order, rank from 1, every one of all visited states.
+    As many as T has connected parts are 1. Timescales as in :func:`implied_timescale`, in
+    frames; the first has none. A task holds one block's matrix over states, whose size is checked.
+    """
+    rows = counts.filter(F.col("i").isNotNull() & F.col("j").isNotNull()).groupBy(*by, lag, "i", "j").agg(F.sum("c").cast("double").alias("c"))
+    types = {"n_states": pa.int32(), "rank": pa.int32(), "eigenvalue": pa.float64()}
+    schema = T.StructType([*(rows.schema[b] for b in (*by, lag)), T.StructField("n_states", T.IntegerType()), T.StructField("rank", T.IntegerType()), T.StructField("eigenvalue", T.DoubleType())])
+
+    def decompose(block: pa.Table) -> pa.Table:
+        i, j = block.column("i").to_pylist(), block.column("j").to_pylist()
+        names = sorted({*i, *j})
+        if len(names) > MOST_STATES:
+            raise ValueError(f"more than {MOST_STATES} states")
+        at = {s: k for k, s in enumerate(names)}
+        m = np.zeros((len(names), len(names)))
+        np.add.at(m, ([at[s] for s in i], [at[s] for s in j]), block.column("c").to_numpy())
+        m += m.T
+        root = np.sqrt(m.sum(axis=1))
+        values = np.linalg.eigvalsh(m / root[:, None] / root[None, :])[::-1].copy()
+        values[: len(set(strong_labels(m > 0)))] = 1.0
+        out = block.slice(0, 1).select([*by, lag]).take(pa.array([0] * len(names)))
+        for name, v in (("n_states", [len(names)] * len(names)), ("rank", range(1, len(names) + 1)), ("eigenvalue", values)):
+            out = out.append_column(name, pa.array(v, types[name]))
+        return out
+
+    found = rows.groupBy(*by, lag).applyInArrow(decompose, schema)
+    value, length = F.col("eigenvalue"), F.col(lag)
+    scale = F.when(value >= 1, F.lit(float("inf"))).when(value > 0, -length / F.log(value))
+    return found.withColumn("timescale", F.when(F.col("rank") > 1, scale))

@@ -148,7 +148,7 @@ SELECT ix, iy, round(weight, 5) + 0.0 AS weight, round(-{KT} * ln(weight) - min(
 
 
 def implied_timescales(spark, d):
-    """Two-state chains (lowest state against the others) of each run: second eigenvalue and its timescale."""
+    """Two-state chains (lowest state against the others) of each run, as in the SQL: second eigenvalue and its timescale. All states and lags: timescale_scan."""
     two = trajectories(spark, d).withColumn("state", F.when(F.col("state") == 0, 0).otherwise(1))
     c = K.reversible(K.block_counts(two, BLOCK, FRAME, "state", 1).groupBy("run_id", "i", "j").agg(F.sum("c").alias("c")), ["run_id"])
     p = K.row_normalised(c, ["run_id"]).filter("i = j").groupBy("run_id").agg(F.sum("p").alias("_t"), F.count(F.lit(1)).alias("_k")).filter("_k = 2")
@@ -167,6 +167,12 @@ SELECT run_id, round(e, 5) + 0.0 AS eigenvalue, round(CASE WHEN e >= 1 THEN 'inf
 )
 
 
+def timescale_scan(spark, d):
+    """All eigenvalues and timescales of the reversible chain over all states of each run, at each lag."""
+    counts = K.lag_scan(trajectories(spark, d), BLOCK, FRAME, "state", LAGS, ["run_id"])
+    return rounded(K.local_timescales(counts, ["run_id"]), "eigenvalue", "timescale", digits=5)
+
+
 def chapman_kolmogorov(spark, d):
     df = trajectories(spark, d)
     p = lambda lag: K.row_normalised(K.reversible(K.transition_counts(df, BLOCK, FRAME, "state", lag)))
@@ -276,6 +282,6 @@ def local_chains_forward(spark, d):
 
 for _f in (
     medoid_scan, local_chains, local_chains_forward, transition_counts, transition_probs, reversible_probs, stationary_states, lag_scan_counts, counts_by_run, matrix_statistics, state_populations, top_states, entropy_efficiency,
-    mass_cutoff, delta_g_by_run, weighted_fes_grid, implied_timescales, chapman_kolmogorov, connected_states, validity_checks, embedding_components, lagged_components, embedding_medoids,
+    mass_cutoff, delta_g_by_run, weighted_fes_grid, implied_timescales, timescale_scan, chapman_kolmogorov, connected_states, validity_checks, embedding_components, lagged_components, embedding_medoids,
 ):
     QUERIES[_f.__name__] = _f
