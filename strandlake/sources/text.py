@@ -1,8 +1,7 @@
 """Plain-text sets: columns of numbers, sets parted by separator lines, comments and quoted strings.
 
-Lines are numbered per file by their offset order: whole files are split by Spark only where the
-position of a line doesn't matter; where it does (sets in one file), a file is read as one row, so
-files should hold what a task can hold.
+Lines are read in blocks and numbered per file. Parting a file into sets sorts its lines in one task,
+which spills but doesn't hold them.
 """
 
 from __future__ import annotations
@@ -35,9 +34,15 @@ def unquoted(word: Column) -> Column:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (0-based), text of every line of every file."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+    """file, line (0-based), text of every line of every file.
+
+    Files are read in Spark's blocks. Lines are numbered in each block, from the number of lines in the blocks before.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = raw.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))  # a block's ids follow each other
+    first = blocks.select("file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_from")).alias("_first"))
+    return raw.join(F.broadcast(first), ["file", "_block"]).select("file", (F.col("_first") + F.col("_at")).alias("line"), F.regexp_replace("value", r"\r$", "").alias("text"))
 
 
 def data_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -73,7 +78,7 @@ def read_sets(spark: SparkSession, path: str, kind: str = "xy") -> DataFrame:
 def read_nxy(spark: SparkSession, path: str) -> DataFrame:
     """One x and many y columns as sets that share x: file, set, pos, x, y."""
     rows = data_lines(spark, path).withColumn("_v", F.transform("words", lambda t: number(t)))
-    spread = rows.select("file", "pos", F.get("_v", 0).alias("x"), F.posexplode(F.slice("_v", 2, 1000)).alias("set", "y"))
+    spread = rows.select("file", "pos", F.get("_v", 0).alias("x"), F.posexplode(F.slice("_v", F.lit(2), F.size("_v"))).alias("set", "y"))
     return spread.select("file", "set", "pos", "x", "y")
 
 
