@@ -1,7 +1,8 @@
 """Arithmetic of the calculator as Columns: strict domains, truth as 0 and 1, units, special functions.
 
-What has no built-in form is built from sums and integrals that numpy evaluates for an Arrow
-batch at a time; each helper is a few lines.
+What has no built-in form is built from series, fractions and integrals that numpy evaluates for an Arrow
+batch at a time, each until it has converged; what doesn't converge is null. Both tails of a
+distribution are found on their own, so small ones keep their digits.
 """
 
 from __future__ import annotations
@@ -73,102 +74,303 @@ def batched(f: Callable[..., np.ndarray]) -> Callable[..., Column]:
     return run
 
 
-_log_gamma = np.vectorize(lambda x: math.nan if x != x else math.inf if x <= 0 and x == math.floor(x) else math.lgamma(x), otypes=[float])
+# B(2k) / (2k (2k-1)) of Stirling's series.
+_STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 / 156)
+MOST_TERMS = 100_000  #: of a series or fraction; what hasn't converged by then is NaN
 
 
-def _lower(a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised lower incomplete gamma function: series for small x, continued fraction for large."""
-    front = np.exp(a * np.log(np.maximum(x, 1e-300)) - x - _log_gamma(a))
-    term = total = 1 / a
-    for n in range(1, 400):
-        term = term * x / (a + n)
+def _zero(x: np.ndarray) -> np.ndarray:
+    return np.zeros_like(x)
+
+
+def _stirling_rest(x: np.ndarray) -> np.ndarray:
+    """ln Gamma(x) less (x - 1/2) ln x - x + ln(2 pi) / 2, for x > 0."""
+    y = np.maximum(x, 10.0)
+    rest = sum(c / y ** (2 * k + 1) for k, c in enumerate(_STIRLING))
+    small = np.where(x < 10, x, 10.0)
+    shift, at = _zero(x), small.copy()
+    for _ in range(10):
+        shift, at = np.where(at < 10, shift + np.log(at), shift), np.where(at < 10, at + 1, at)
+    far = sum(c / at ** (2 * k + 1) for k, c in enumerate(_STIRLING)) + (at - 0.5) * np.log(at) - at - shift
+    return np.where(x < 10, far - (small - 0.5) * np.log(small) + small, rest)
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of the magnitude; infinite at 0 and the negative whole numbers."""
+    at = np.where(x > 0, x, 1 - x)
+    out = (at - 0.5) * np.log(at) - at + 0.5 * math.log(2 * math.pi) + _stirling_rest(at)
+    out = np.where(at == np.inf, np.inf, out)
+    turned = math.log(math.pi) - np.log(np.abs(np.sin(math.pi * (x - np.rint(x))))) - out
+    return np.where(x > 0, np.where((x == 1) | (x == 2), 0.0, out), np.where(x == np.floor(x), np.inf, np.where(np.isnan(x), np.nan, turned)))
+
+
+def _gamma(x: np.ndarray) -> np.ndarray:
+    """With its sign; NaN at the poles, infinite from about 171.62 on."""
+    turns = (x < 0) & (np.floor(x) % 2 != 0)
+    out = np.where(turns, -1.0, 1.0) * np.exp(_log_gamma(x))
+    whole = (x == np.floor(x)) & (x > 0) & (x < 19)
+    return np.where((x <= 0) & (x == np.floor(x)), np.nan, np.where(whole, np.rint(out), out))
+
+
+def _off_log(t: np.ndarray, ratio: np.ndarray | None = None) -> np.ndarray:
+    """t - ln(1 + t), without cancelling near 0; ``ratio`` is 1 + t where that is known better."""
+    near = np.where(np.abs(t) < 0.1, t, 0.0)
+    series = sum((-1) ** k * near**k / k for k in range(2, 20))
+    return np.where(np.abs(t) < 0.1, series, t - (np.log1p(np.maximum(t, -1.0)) if ratio is None else np.log(ratio)))
+
+
+_nodes, _weights = np.polynomial.legendre.leggauss(200)
+
+
+def _integral(f: Callable[[np.ndarray], np.ndarray], low: np.ndarray, high: np.ndarray, pieces: int = 1) -> np.ndarray:
+    """Integral of f between two bounds of each row, by 200 Gauss points in each of so many equal pieces."""
+    step, total = (high - low) / pieces, np.zeros_like(low)
+    for k in range(pieces):
+        total = total + step / 2 * (_weights * f(step[:, None] / 2 * _nodes + (low + (k + 0.5) * step)[:, None])).sum(axis=1)
+    return total
+
+
+def _fraction(a: Callable[[int], np.ndarray], b: Callable[[int], np.ndarray]) -> np.ndarray:
+    """b0 + a1 / (b1 + a2 / (b2 + ...)) from the front, until no row changes; NaN where it doesn't settle."""
+    tiny = 1e-300
+    f = np.where(b(0) == 0, tiny, b(0))
+    c, d = f, _zero(f)
+    open_ = np.ones(f.shape, dtype=bool)
+    for n in range(1, MOST_TERMS):
+        d = b(n) + a(n) * d
+        c = b(n) + a(n) / c
+        d, c = 1 / np.where(d == 0, tiny, d), np.where(c == 0, tiny, c)
+        f = np.where(open_, f * c * d, f)
+        open_ = open_ & (np.abs(c * d - 1) > 1e-15)
+        if not open_.any():
+            return f
+    return np.where(open_, np.nan, f)
+
+
+def _series(ratio: Callable[[int], np.ndarray], x: np.ndarray, most: int = MOST_TERMS) -> np.ndarray:
+    """1 + ratio(0) x + ratio(0) ratio(1) x^2 + ..., until nothing is added; NaN where it doesn't settle."""
+    term = total = np.ones_like(x)
+    for n in range(most):
+        term = term * ratio(n) * x
         total = total + term
-    f = np.zeros_like(x)
-    for n in range(400, 0, -1):
-        f = n * (n - a) / (x + 2 * n + 1 - a - f)
-    tail = front / (x + 1 - a - f)
-    return np.where(x <= 0, 0.0, np.where(x < a + 1, front * total, 1 - tail))
+        open_ = np.abs(term) > 1e-17 * np.abs(total)
+        if not open_.any():
+            return total
+    return np.where(open_ & (np.abs(term) > 1e-12 * np.abs(total)), np.nan, total)
+
+
+BROAD = 10_000.0  #: shape parameters from which a tail is an integral over the density instead of a series
+
+
+def _gamma_tails(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper regularised incomplete gamma function, each to its own precision; NaN outside a > 0.
+
+    A series below a + 1, a continued fraction above; for large a the integral of the density over the 40 units
+    of its exponent next to x.
+    """
+    at = np.clip(x, 1e-300, 1e300)
+    scale = np.sqrt(a / (2 * math.pi)) * np.exp(-_stirling_rest(a))
+    front = scale * np.exp(-a * _off_log((at - a) / a, at / a))  # x^a e^-x / Gamma(a)
+    low, broad = at < a + 1, a > BROAD
+    below, above = ~broad & low, ~broad & ~low
+    total = _series(lambda n: 1 / (np.where(below, a, 1.0) + n + 1), np.where(below, at, 0.0))
+    s = np.where(above, a, 1.0)
+    fraction = _fraction(lambda n: n * (s - n), lambda n: np.where(above, at, 2.0) + 2 * n + 1 - s)
+    lower, upper = front * total / a, front / fraction
+    wide = np.where(broad, a, BROAD)
+    centre = np.where(broad, at, BROAD)
+    # The exponent a * off_log(t) at the end is 40 above that at x: for t near 0 a parabola, further out nearly a line.
+    t0 = (centre - wide) / wide
+    side = np.where(t0 > 0, 1.0, -1.0)
+    reach = np.minimum(np.sqrt(t0 * t0 + 2 * 60 / wide) + 60 / wide - np.abs(t0), 60 / wide / np.maximum(np.abs(t0), 1e-300) * (1 + np.abs(t0)))
+    end = np.maximum(t0 + side * reach, -1 + 1e-12)
+    base = _off_log(t0)
+    density = lambda t: np.exp(-wide[:, None] * (_off_log(t) - base[:, None])) / (1 + t)
+    tail = front * np.abs(_integral(density, t0, end, 4))
+    lower, upper = np.where(broad & (side < 0), tail, lower), np.where(broad & (side > 0), tail, upper)
+    from_below = np.where(broad, side < 0, low)
+    lower, upper = np.where(from_below, lower, 1 - upper), np.where(from_below, 1 - lower, upper)
+    lower, upper = np.where(x <= 0, 0.0, np.where(x == np.inf, 1.0, lower)), np.where(x <= 0, 1.0, np.where(x == np.inf, 0.0, upper))
+    known = (a > 0) & ~np.isnan(x)
+    return np.where(known, np.clip(lower, 0.0, 1.0), np.nan), np.where(known, np.clip(upper, 0.0, 1.0), np.nan)
 
 
-def _beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta function by its continued fraction."""
-    turn = x > (a + 1) / (a + b + 2)
-    a, b, x = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, 1 - x, x)
+def _lower(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return _gamma_tails(a, x)[0]
+
+
+def _upper(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return _gamma_tails(a, x)[1]
+
+
+def _beta_tails(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper regularised incomplete beta function, by the continued fraction of the smaller side."""
     x = np.clip(x, 0.0, 1.0)
-    front = np.exp(a * np.log(np.maximum(x, 1e-300)) + b * np.log1p(-np.minimum(x, 1 - 1e-16)) - _log_gamma(a) - _log_gamma(b) + _log_gamma(a + b)) / a
-    f = np.ones_like(x)
-    for m in range(200, 0, -1):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1))
-        f = 1 + odd / (1 + even / f)
-    out = np.where(x <= 0, 0.0, front / f)
-    return np.where(turn, 1 - out, out)
-
-
-def _inverse(f: Callable[[np.ndarray], np.ndarray], p: np.ndarray, low: float, high: float) -> np.ndarray:
-    """Where an increasing function reaches p, by halving."""
-    lo, hi = np.full_like(p, low), np.full_like(p, high)
-    for _ in range(200):
+    mean = a / (a + b)
+    turn = x > mean
+    p, q = np.where(turn, b, a), np.where(turn, a, b)
+    z, m = np.where(turn, 1 - x, x), np.where(turn, 1 - mean, mean)
+    at = np.clip(z, 1e-300, 1 - 1e-16)
+    shape = np.sqrt(p * q / (2 * math.pi * (p + q))) * np.exp(_stirling_rest(p + q) - _stirling_rest(p) - _stirling_rest(q))
+    front = shape * np.exp(-p * _off_log((at - m) / m, at / m) - q * _off_log((m - at) / (1 - m), (1 - at) / (1 - m)))  # z^p (1-z)^q / B(p, q)
+
+    def above(n: int) -> np.ndarray:
+        k = n // 2
+        if n % 2 == 0:
+            return k * (q - k) * at / ((p + 2 * k - 1) * (p + 2 * k))
+        return -(p + k) * (p + q + k) * at / ((p + 2 * k) * (p + 2 * k + 1))
+
+    tail = front / p / _fraction(above, lambda n: np.ones_like(p))
+    tail = np.where(z <= 0, 0.0, np.clip(tail, 0.0, 1.0))
+    lower, upper = np.where(turn, 1 - tail, tail), np.where(turn, tail, 1 - tail)
+    known = (a > 0) & (b > 0) & ~np.isnan(x)
+    return np.where(known, lower, np.nan), np.where(known, upper, np.nan)
+
+
+def _beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return _beta_tails(a, b, x)[0]
+
+
+def _crossing(beyond: Callable[[np.ndarray], np.ndarray], low: np.ndarray, high: np.ndarray, halvings: int = 70) -> np.ndarray:
+    """Where a condition turns true between two bounds of each row, by halving."""
+    lo, hi = low, high
+    for _ in range(halvings):
         mid = (lo + hi) / 2
-        below = f(mid) < p
-        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+        past = beyond(mid)
+        lo, hi = np.where(past, lo, mid), np.where(past, mid, hi)
     return (lo + hi) / 2
 
 
-_nodes, _weights = np.polynomial.legendre.leggauss(200)
+def _gamma_quantile(a: np.ndarray, upper: np.ndarray) -> np.ndarray:
+    """x beyond which the part ``upper`` of the gamma distribution of shape a lies; halves on the logarithm, so no bound is met."""
 
+    def beyond(y: np.ndarray) -> np.ndarray:
+        p, q = _gamma_tails(a, np.exp(y))
+        return np.where(upper <= 0.5, q <= upper, p >= 1 - upper)
 
-def _integral(f: Callable[[np.ndarray], np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Integral of f between two bounds of each row, by 200 Gauss points."""
-    half, mid = (high - low) / 2, (high + low) / 2
-    return half * (_weights * f(half[:, None] * _nodes + mid[:, None])).sum(axis=1)
+    out = np.exp(_crossing(beyond, np.full_like(a, -745.0), np.full_like(a, 709.0)))
+    return np.where((upper > 0) & (upper < 1) & (a > 0), out, np.where(upper == 1, 0.0, np.where(upper == 0, np.inf, np.nan)))
 
 
-def _zero(x: np.ndarray) -> np.ndarray:
-    return np.zeros_like(x)
+def _beta_quantile(a: np.ndarray, b: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x up to which the part p lies, and 1 - x; the smaller of the two is the one sought."""
+    half = _beta(a, b, np.full_like(a, 0.5)) >= p
+    s, t, part = np.where(half, a, b), np.where(half, b, a), np.where(half, p, 1 - p)
+    small = np.exp(_crossing(lambda y: _beta(s, t, np.exp(y)) >= part, np.full_like(a, -745.0), np.full_like(a, math.log(0.5))))
+    small = np.where((p >= 0) & (p <= 1), np.where(part <= 0, 0.0, small), np.nan)
+    return np.where(half, small, 1 - small), np.where(half, 1 - small, small)
+
 
+def _erfc(x: np.ndarray) -> np.ndarray:
+    tails = _gamma_tails(np.full_like(x, 0.5), x * x)
+    return np.where(x > 0, tails[1], 1 + tails[0])
 
-erf = batched(np.vectorize(math.erf, otypes=[float]))
-erfc = batched(np.vectorize(math.erfc, otypes=[float]))
+
+def _normal_quantile(p: np.ndarray) -> np.ndarray:
+    small = np.minimum(p, 1 - p)
+    x = _crossing(lambda x: 0.5 * _erfc(-x / math.sqrt(2)) >= small, np.full_like(p, -40.0), _zero(p))
+    return np.where((p > 0) & (p < 1), np.where(p < 0.5, x, -x), np.where(p == 0, -np.inf, np.where(p == 1, np.inf, np.nan)))
+
+
+def _carlson(x: np.ndarray, y: np.ndarray, z: np.ndarray, third: bool) -> np.ndarray:
+    """Carlson's symmetric integral of the first kind, or with ``third`` of the second kind, by duplication."""
+    total, factor = _zero(x), 1.0
+    for _ in range(30):
+        r = np.sqrt(x * y) + np.sqrt(y * z) + np.sqrt(z * x)
+        total, factor = total + factor / (np.sqrt(z) * (z + r)), factor / 4
+        x, y, z = (x + r) / 4, (y + r) / 4, (z + r) / 4
+    return 3 * total + factor * z**-1.5 if third else ((x + y + z) / 3) ** -0.5
+
+
+def _elliptic(phi: np.ndarray, m: np.ndarray, second: bool) -> np.ndarray:
+    """Incomplete elliptic integrals; whole half turns count twice the complete ones. NaN where m sin^2 passes 1."""
+    turns = np.rint(phi / math.pi)
+    rest = phi - turns * math.pi
+
+    def upto(s2: np.ndarray, c2: np.ndarray) -> np.ndarray:
+        s, y = np.sqrt(s2), 1 - m * s2
+        y = np.where(y < 0, np.nan, y)
+        one = s * _carlson(c2, y, np.ones_like(y), False)
+        return one - m * s * s2 / 3 * _carlson(c2, y, np.ones_like(y), True) if second else np.where((y == 0) & (c2 == 0), np.inf, one)
+
+    part = np.sign(rest) * upto(np.sin(rest) ** 2, np.cos(rest) ** 2)
+    return np.where(turns == 0, part, part + 2 * turns * upto(np.ones_like(m), _zero(m)))
+
+
+def _fresnel(x: np.ndarray, sine: bool) -> np.ndarray:
+    """By its integral up to 4, beyond by the auxiliary functions' Laplace integrals."""
+    near, at = np.clip(x, -4.0, 4.0), np.maximum(np.abs(x), 4.0)
+    close = _integral(lambda t: np.sin(math.pi * t * t / 2) if sine else np.cos(math.pi * t * t / 2), _zero(x), near)
+    z = (math.pi * at * at / 2)[:, None]
+    f = math.sqrt(2) / math.pi * _integral(lambda u: np.exp(-z * u * u) / (1 + u**4), _zero(x), 6.5 / np.sqrt(z[:, 0]))
+    g = math.sqrt(2) / math.pi * _integral(lambda u: u * u * np.exp(-z * u * u) / (1 + u**4), _zero(x), 6.5 / np.sqrt(z[:, 0]))
+    turn = math.pi / 2 * np.fmod(at * at, 4.0)
+    far = 0.5 - f * np.cos(turn) - g * np.sin(turn) if sine else 0.5 + f * np.sin(turn) - g * np.cos(turn)
+    return np.where(np.abs(x) <= 4, close, np.sign(x) * far)
+
+
+def _circular_rests(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The auxiliary functions f and g of the sine and cosine integrals, for x > 0 that isn't small."""
+    far = 50 / x
+    return tuple(_integral(lambda t: np.exp(-x[:, None] * t) * t**k / (1 + t * t), _zero(x), far) for k in (0, 1))
+
+
+def _sine_integral(x: np.ndarray) -> np.ndarray:
+    f, g = _circular_rests(at := np.maximum(np.abs(x), 10.0))
+    return np.where(np.abs(x) <= 10, _integral(lambda t: np.sinc(t / math.pi), _zero(x), np.clip(x, -10.0, 10.0)), np.sign(x) * (math.pi / 2 - f * np.cos(at) - g * np.sin(at)))
+
+
+def _dawson(x: np.ndarray) -> np.ndarray:
+    at = np.abs(x)
+    low = np.maximum(0.0, at - 45 / np.maximum(at, 1e-9))
+    return np.sign(x) * _integral(lambda t: np.exp((t - at[:, None]) * (t + at[:, None])), low, at, 2)
+
+
+def _digamma(x: np.ndarray) -> np.ndarray:
+    """Below 0 by reflection; NaN at the poles."""
+    at = np.where(x < 0, 1 - x, x)
+    out = _zero(x)
+    for _ in range(10):
+        out, at = np.where(at < 10, out - 1 / at, out), np.where(at < 10, at + 1, at)
+    y = 1 / (at * at)
+    out = out + np.log(at) - 0.5 / at - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240)))
+    out = np.where(x < 0, out - math.pi / np.tan(math.pi * (x - np.rint(x))), out)
+    return np.where((x <= 0) & (x == np.floor(x)), np.nan, out)
+
+
+def _student(v: np.ndarray, t: np.ndarray) -> np.ndarray:
+    tail = _beta(v / 2, np.full_like(v, 0.5), v / (v + t * t)) / 2
+    return np.where(t > 0, 1 - tail, tail)
+
+
+erf = batched(lambda x: np.sign(x) * _gamma_tails(np.full_like(x, 0.5), x * x)[0])
+erfc = batched(_erfc)
 log_gamma = batched(_log_gamma)
-gamma = batched(np.vectorize(lambda x: math.gamma(x) if x == x and not (x <= 0 and x == math.floor(x)) and x < 171 else math.inf if x >= 171 else math.nan, otypes=[float]))
+gamma = batched(_gamma)
 log_beta = batched(lambda a, b: _log_gamma(a) + _log_gamma(b) - _log_gamma(a + b))
-normal_cdf = batched(np.vectorize(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)), otypes=[float]))
-normal_quantile = batched(lambda p: _inverse(np.vectorize(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)), otypes=[float]), p, -40.0, 40.0))
+normal_cdf = batched(lambda x: 0.5 * _erfc(-x / math.sqrt(2)))
+normal_quantile = batched(_normal_quantile)
 gamma_lower = batched(_lower)
-gamma_upper = batched(lambda a, x: 1 - _lower(a, x))
-gamma_upper_inverse = batched(lambda a, p: _inverse(lambda x: _lower(a, x), 1 - p, 0.0, 1e4))
+gamma_upper = batched(_upper)
+gamma_upper_inverse = batched(_gamma_quantile)
 chi2_cdf = batched(lambda v, x: _lower(v / 2, x / 2))
-chi2_tail = batched(lambda v, x: 1 - _lower(v / 2, x / 2))
-poisson_cdf = batched(lambda k, m: 1 - _lower(np.floor(k) + 1, m))
+chi2_tail = batched(lambda v, x: _upper(v / 2, x / 2))
+poisson_cdf = batched(lambda k, m: _upper(np.floor(k) + 1, m))
 poisson_tail = batched(lambda k, m: _lower(np.floor(k) + 1, m))
 gamma_cdf = batched(lambda a, b, x: _lower(b, a * x))
 beta_incomplete = batched(_beta)
-beta_inverse = batched(lambda a, b, p: _inverse(lambda x: _beta(a, b, x), p, 0.0, 1.0))
+beta_inverse = batched(lambda a, b, p: _beta_quantile(a, b, p)[0])
 f_cdf = batched(lambda a, b, x: _beta(a / 2, b / 2, a * x / (a * x + b)))
-f_tail = batched(lambda a, b, x: 1 - _beta(a / 2, b / 2, a * x / (a * x + b)))
-student_cdf = batched(lambda v, t: np.where(t > 0, 1 - _beta(v / 2, 0.5 + _zero(v), v / (v + t * t)) / 2, _beta(v / 2, 0.5 + _zero(v), v / (v + t * t)) / 2))
-ellipse_k = batched(lambda m: _integral(lambda t: 1 / np.sqrt(1 - m[:, None] * np.sin(t) ** 2), _zero(m), np.full_like(m, math.pi / 2)))
-ellipse_e = batched(lambda m: _integral(lambda t: np.sqrt(1 - m[:, None] * np.sin(t) ** 2), _zero(m), np.full_like(m, math.pi / 2)))
-ellipse_f = batched(lambda phi, m: _integral(lambda t: 1 / np.sqrt(1 - m[:, None] * np.sin(t) ** 2), _zero(phi), phi))
-ellipse_e_incomplete = batched(lambda phi, m: _integral(lambda t: np.sqrt(1 - m[:, None] * np.sin(t) ** 2), _zero(phi), phi))
-fresnel_s = batched(lambda x: _integral(lambda t: np.sin(math.pi * t * t / 2), _zero(x), x))
-fresnel_c = batched(lambda x: _integral(lambda t: np.cos(math.pi * t * t / 2), _zero(x), x))
-sine_integral = batched(lambda x: _integral(lambda t: np.sinc(t / math.pi), _zero(x), x))
-dawson = batched(lambda x: _integral(lambda t: np.exp(t * t - (x * x)[:, None]), _zero(x), x))
-bessel_j = batched(lambda n, x: _integral(lambda t: np.cos(n[:, None] * t - x[:, None] * np.sin(t)), _zero(x), np.full_like(x, math.pi)) / math.pi)  #: whole orders
-bessel_i = batched(lambda n, x: _integral(lambda t: np.exp(x[:, None] * np.cos(t)) * np.cos(n[:, None] * t), _zero(x), np.full_like(x, math.pi)) / math.pi)  #: whole orders
-bessel_k = batched(lambda n, x: _integral(lambda t: np.exp(-x[:, None] * np.cosh(t)) * np.cosh(n[:, None] * t), _zero(x), np.full_like(x, 12.0)))
+f_tail = batched(lambda a, b, x: _beta(b / 2, a / 2, b / (a * x + b)))
+student_cdf = batched(_student)
+ellipse_k = batched(lambda m: _elliptic(np.full_like(m, math.pi / 2), m, False))
+ellipse_e = batched(lambda m: _elliptic(np.full_like(m, math.pi / 2), m, True))
+ellipse_f = batched(lambda phi, m: _elliptic(phi, m, False))
+ellipse_e_incomplete = batched(lambda phi, m: _elliptic(phi, m, True))
+fresnel_s = batched(lambda x: _fresnel(x, True))
+fresnel_c = batched(lambda x: _fresnel(x, False))
+sine_integral = batched(_sine_integral)
+dawson = batched(_dawson)
 dilogarithm = batched(lambda x: _integral(lambda u: -2 * u * np.log(np.maximum(1 + (x - 1)[:, None] * u * u, 1e-300)) / np.maximum(u * u, 1e-300), _zero(x), np.ones_like(x)))
-
-
-def _digamma(x: np.ndarray) -> np.ndarray:
-    out = _zero(x)
-    for _ in range(10):
-        out, x = np.where(x < 10, out - 1 / x, out), np.where(x < 10, x + 1, x)
-    y = 1 / (x * x)
-    return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240)))
-
-
 digamma = batched(_digamma)
 zeta = batched(lambda s, q: sum((q + k) ** -s for k in range(30)) + (q + 30) ** (1 - s) / (s - 1) + (q + 30) ** -s / 2 + s * (q + 30) ** (-s - 1) / 12 - s * (s + 1) * (s + 2) * (q + 30) ** (-s - 3) / 720)

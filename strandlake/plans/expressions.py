@@ -60,7 +60,7 @@ def expr_special(spark, d):
     q, x = F.col("l_quantity") / 10, F.col("l_discount") * 10
     made = {
         "erf": N.erf(x), "gamma": N.gamma(q + 0.5), "igam": N.gamma_lower(q, x), "chi2": N.chi2_cdf(q, x), "normal": N.normal_cdf(x - 0.5), "beta": N.beta_incomplete(q, F.lit(1.5), x / 2),
-        "student": N.student_cdf(q, x), "bessel_j": N.bessel_j(F.floor(q).cast("double"), x * 5), "psi": N.digamma(q),
+        "student": N.student_cdf(q, x), "bessel_j": S.bessel_j(F.floor(q).cast("double"), x * 5), "psi": N.digamma(q),
     }
     return rounded(df.select("l_quantity", "l_discount", "n", *(c.alias(k) for k, c in made.items())), *made)
 

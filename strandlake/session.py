@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the session has none (local tests) a fresh folder under the
-    system's temporary folder is made and set.
+    Only a local session that names none gets a fresh folder under the system's temporary
+    folder; elsewhere a missing setting is an error, as no executor could read another's folder.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None)
     if base:
         return base
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-strandlake-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -32,11 +34,14 @@ def shared_path(spark: SparkSession, what: str) -> str:
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back.
 
-    Cuts the lineage: a lost executor costs no recomputation of what lies before.
+    Cuts the lineage: a lost executor costs no recomputation of what lies before. The table is
+    removed when the session's JVM ends.
     """
     spark = df.sparkSession
     path = shared_path(spark, what)
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
