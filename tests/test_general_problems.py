@@ -9,7 +9,7 @@ import pytest
 
 from strandlake.operators.delivery import delivered_once, index_deliveries, known, repeated_deliveries
 from strandlake.operators.messages import one_copy, with_pair
-from strandlake.operators.spikes import blocked, constant_runs, flagged_reports, sparse_part
+from strandlake.operators.spikes import blocked, constant_runs, flagged_reports, local_level, sparse_part, sparse_report
 from strandlake.operators.trailing import daily_attempts, trailing_attempts
 
 STATES = "run_id string, replica_index int, cycle_no long, potential_energy double, block string, at string, body string"
@@ -110,14 +110,41 @@ def test_constant_runs_need_six_within_the_width():
     assert constant_runs(e, 6, 0.025).tolist() == [True] * 6 + [False] * 8
 
 
-def test_sparse_part_finds_spikes_and_not_level_changes():
-    rng = np.random.default_rng(1)
-    m = rng.normal(0, 1, (2, 30, 24)) + np.linspace(0, 40, 30)[None, :, None]
-    m[0, 15:] += 200  # a lasting change
-    m[0, 4, 7] += 60
-    m[1, 20, 3] -= 30
-    s = sparse_part(m)
-    assert s[0, 4, 7] and s[1, 20, 3] and s.mean() < 0.1
+@pytest.mark.parametrize("seed", range(6))
+def test_components_set_apart_all_that_the_last_test_finds(seed):
+    """Level steps, drift, a wild stretch and short blocks: no reading beyond 9 scatters of its source is left out, and few others are set apart."""
+    rng = np.random.default_rng(seed)
+    for rows in (1, 2, 4, 10, 42):
+        n = rows * 24
+        e = -1000 + rng.normal(0, 1, n) + np.linspace(0, rng.choice([0, 60]), n)
+        for at in rng.integers(0, n, 4):
+            e[at:] += rng.choice([-200, 15, 40])
+        spikes = rng.integers(0, n, 3)
+        e[spikes] += rng.choice([-1, 1], 3) * rng.uniform(9, 40, 3)
+        if seed % 2:
+            e[: n // 2] += rng.normal(0, 5, n // 2)  # half the block is far wilder than its source
+        off = (e - local_level(e, 12)).reshape(1, rows, 24)
+        for scatter in (1.0, 0.4):
+            scale, sparse = sparse_part(off, np.array([np.inf]))
+            if scale[0] > 1.5 * scatter:
+                _, sparse = sparse_part(off, np.array([scatter]))
+            assert sparse[np.abs(off) > 9 * scatter].all()
+        quiet, cells = sparse_part(off, np.array([np.inf]))
+        assert seed % 2 or rows < 10 or cells.mean() < 0.15
+
+
+def test_restless_blocks_are_judged_by_their_source(spark):
+    """A source that is calm for long and wild in one block: readings beyond 9 of its scatters are found in the wild block too."""
+    rng = np.random.default_rng(3)
+    e = -500 + rng.normal(0, 1, 6000)
+    e[3024:4032] += rng.normal(0, 6, 1008)  # one whole block
+    rows = [("r", 0, k, float(v), "b", "a", "c") for k, v in enumerate(e)]
+    off = np.abs(e - local_level(e, 12))
+    scatter = 1.4826 * np.median(off)
+    got = {r.cycle_no for r in flagged_reports(spark.createDataFrame(rows, STATES)).collect()}
+    assert got >= set(np.flatnonzero(off > 9.2 * scatter)) and got <= set(np.flatnonzero(off > 8.8 * scatter)) and len(got) > 50
+    report = sparse_report(spark.createDataFrame(rows, STATES)).first()
+    assert report.reports == 6000 and report.candidates > report.spikes == len(got)
 
 
 def test_spikes_of_sources_of_different_scatter(spark):
