@@ -6,8 +6,9 @@ year 0 (year -1 comes before year 1).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 # Fixed value: Julian day of 1970-01-01 00:00 UTC.
 UNIX_EPOCH_JD = 2440587.5
@@ -70,3 +71,12 @@ def full_year(year: Column, wrap: int = 1950) -> Column:
     century = wrap - wrap % 100
     near = year + century
     return F.when((year >= 0) & (year < 100), F.when(near < wrap, near + 100).otherwise(near)).otherwise(year)
+
+
+def utc_micros(df: DataFrame, column: str) -> Column:
+    """Microseconds since 1970 of a time of ``df``; one without a zone means UTC, whatever the session's zone."""
+    c = F.col(column)
+    if isinstance(df.schema[column].dataType, TimestampNTZType):
+        seconds = F.unix_date(F.to_date(c)) * F.lit(86400).cast("long") + F.hour(c) * 3600 + F.minute(c) * 60
+        return seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
+    return F.unix_micros(c.cast("timestamp"))

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from strandlake.operators.delivery import delivered_once, index_deliveries, known, repeated_deliveries
+from strandlake.operators.delivery import DeliveryIndex, delivered_once, exchange_keys, index_deliveries, places, repeated_deliveries
 from strandlake.operators.messages import one_copy, with_pair
 from strandlake.operators.spikes import blocked, constant_runs, flagged_reports, local_level, sparse_part, sparse_report
 from strandlake.operators.trailing import daily_attempts, trailing_attempts
@@ -24,8 +24,8 @@ def test_pairs_in_any_spelling(spark):
 
 def test_binary_search_tells_colliding_halves_apart():
     run1, run2 = np.array([1, 1, 1, 5, 9]), np.array([2, 4, 6, 0, 3])
-    got = known(np.array([1, 1, 5, 9, 0, 10, 1]), np.array([4, 5, 0, 4, 0, 0, 6]), run1, run2)
-    assert got.tolist() == [True, False, True, False, False, False, True]
+    got = places(np.array([1, 1, 5, 9, 0, 10, 1]), np.array([4, 5, 0, 4, 0, 0, 6]), run1, run2)
+    assert got.tolist() == [1, -1, 3, -1, -1, -1, 2]
 
 
 def _records(n=600, seed=3):
@@ -66,11 +66,46 @@ def test_one_copy_of_each_message_is_kept(spark, rounds, merge_every):
 def test_index_outlives_its_batches_and_merges(spark):
     rows = _records(200)
     df = spark.createDataFrame(rows, RECORDS)
-    index = index_deliveries(df, rounds=4, merge_every=2)
-    assert len(index.runs) == 1 and index.written > 4
+    index, _ = index_deliveries(df, rounds=4, merge_every=2)
+    assert len(index.runs) == 1 and index.state["written"] > 4
     assert index.kept().count() == index.kept().distinct().count() == len({_message(r) for r in rows})
 
 
+@pytest.mark.parametrize("merge_every", [2, 9])
+def test_an_index_is_opened_again_and_batches_may_come_out_of_order(spark, tmp_path, merge_every):
+    """Two sessions, the later arrivals first; prefixes are split as the index grows; a broken manifest is passed over."""
+    rows = _records(900)
+    df = spark.createDataFrame(rows, RECORDS)
+    want = {r.record_id for r in delivered_once(df).collect()}
+    late, early = df.filter("received_at > timestamp'2024-05-04 00:00:00'"), df.filter("received_at IS NULL OR received_at <= timestamp'2024-05-04 00:00:00'")
+    path = f"file://{tmp_path}/index"
+    DeliveryIndex.create(spark, path, merge_every=merge_every, per_prefix=2).take_in(exchange_keys(late))
+    (tmp_path / "index/manifests/999999999.json").write_text('{"runs": [')
+    other = spark.newSession()
+    index = DeliveryIndex.open(other, path)
+    index.take_in(exchange_keys(early))
+    assert {r.kept_record for r in DeliveryIndex.open(spark, path).kept().collect()} == want
+    index.merge()
+    index.vacuum()
+    again = DeliveryIndex.open(spark, path)
+    assert again.state["prefix_bits"] > 5 and len(again.runs) == 1 and len(list((tmp_path / "index").glob("run-*"))) == 1
+    assert {r.kept_record for r in again.kept().collect()} == want
+    with pytest.raises(Exception, match="exists"):  # a second writer from the same manifest
+        stale = DeliveryIndex.open(spark, path)
+        again.take_in(exchange_keys(early))
+        stale.take_in(exchange_keys(early))
+
+
+def test_arrival_does_not_hang_on_the_session_zone(spark, small):
+    df = spark.read.parquet(f"{small}/exchange_record.parquet")
+    want = {tuple(r) for r in exchange_keys(df).collect()}
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert {tuple(r) for r in exchange_keys(spark.read.parquet(f"{small}/exchange_record.parquet")).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_empty_tables(spark):
     records, states = spark.createDataFrame([], RECORDS), spark.createDataFrame([], STATES)
     assert repeated_deliveries(records).count() == 0 and delivered_once(records).count() == 0
