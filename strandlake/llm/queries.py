@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from strandlake.llm import sketch
 from strandlake.llm.mojibake import garbled_documents, restored_documents
 from strandlake.llm.packing import fill_containers
-from strandlake.llm.runs import state_runs
+from strandlake.llm.runs import near_runs, state_runs
 from strandlake.llm.tokens import encode_corpus, token_counts
 from strandlake.operators.messages import one_copy
 from strandlake.session import table, written
 
+P1_TOLERANCE, P1_GAP = 0.004, 20
 P5_AT = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 P5_ERROR = 0.01
 
@@ -30,6 +31,12 @@ def p1_events(spark, d):
     )
 
 
+def p1_near(spark, d):
+    """Stretches in which a replica's printed ``lam`` stays near the first one, with few cycles missing."""
+    runs = near_runs(table(spark, d, "replica_state"), P1_TOLERANCE, P1_GAP)
+    return runs.select("run_id", "replica_index", F.col("state").alias("lam"), F.col("first").alias("first_cycle"), F.col("last").alias("last_cycle"), "n_reports", "n_delivered")
+
+
 def p5_day_sketches(spark, d):
     """Sketch of each pair and UTC day, ready to be merged over any days."""
     messages = one_copy(table(spark, d, "exchange_record"), "delta_energy", "attempted_at").filter("pair_i IS NOT NULL")
@@ -71,7 +78,7 @@ def p8_restored(spark, d):
     return restored_documents(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_events": p1_events, "p5_percentiles": p5_percentiles, "p5_day_sketches": p5_day_sketches, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p1_events": p1_events, "p1_near": p1_near, "p5_percentiles": p5_percentiles, "p5_day_sketches": p5_day_sketches, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_restored": p8_restored}
 
 _RUNS = """
 WITH e AS (
@@ -104,6 +111,18 @@ SQL = {
   count(*) AS n_reports, CAST(sum(k) AS BIGINT) AS n_delivered, max(cycle_no) - min(cycle_no) AS duration_cycles,
   round(epoch_us(arg_max(t, cycle_no)) / 1e6 - epoch_us(arg_min(t, cycle_no)) / 1e6, 3) AS duration_s
 FROM g GROUP BY run_id, replica_index, run""",
+    "p1_near": f"""
+WITH RECURSIVE e AS (
+  SELECT run_id, replica_index, cycle_no, min(lam) AS x, count(*) AS k, row_number() OVER (PARTITION BY run_id, replica_index ORDER BY cycle_no) AS n
+  FROM replica_state WHERE lam IS NOT NULL AND NOT isnan(lam) GROUP BY 1, 2, 3),
+m AS (
+  SELECT run_id, replica_index, n, cycle_no, x AS anchor, 1 AS run FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.run_id, e.replica_index, e.n, e.cycle_no, CASE WHEN abs(e.x - m.anchor) > {P1_TOLERANCE} OR e.cycle_no - m.cycle_no > {P1_GAP} THEN e.x ELSE m.anchor END,
+    m.run + CASE WHEN abs(e.x - m.anchor) > {P1_TOLERANCE} OR e.cycle_no - m.cycle_no > {P1_GAP} THEN 1 ELSE 0 END
+  FROM m JOIN e ON e.run_id = m.run_id AND e.replica_index = m.replica_index AND e.n = m.n + 1)
+SELECT run_id, replica_index, min(anchor) AS lam, min(m.cycle_no) AS first_cycle, max(m.cycle_no) AS last_cycle, count(*) AS n_reports, CAST(sum(k) AS BIGINT) AS n_delivered
+FROM m JOIN e USING (run_id, replica_index, n) GROUP BY run_id, replica_index, run""",
     "p5_day_sketches": _SKETCH + "SELECT pair_i, pair_j, day, sign, bucket, count(*) AS n FROM s GROUP BY 1, 2, 3, 4, 5",
     "p5_percentiles": _SKETCH
     + f""", g AS (SELECT pair_i, pair_j, day, sign, bucket FROM s WHERE day IS NOT NULL UNION ALL SELECT pair_i, pair_j, NULL, sign, bucket FROM s),

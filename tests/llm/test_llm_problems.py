@@ -59,6 +59,32 @@ def test_runs_like_a_loop(spark, tolerance, max_gap, block):
     assert len(found) == len(set(found)) and set(found) == _stretches(rows, tolerance, max_gap)
 
 
+@pytest.mark.parametrize("step, tolerance, max_gap, block", [(0.2, 1.0, None, 5), (0.02, 1.0, None, 5), (0.4, 0.5, 2, 9), (0.0, 0.1, None, 4)])
+def test_near_runs_of_drifting_entities_in_small_blocks(spark, step, tolerance, max_gap, block):
+    """Random walks whose runs hang on the anchor that comes into a block, over many blocks of one hot entity."""
+    rnd = random.Random(6)
+    rows = []
+    for entity, n in ((("a", 0), 400), (("b", 1), 60)):
+        x = 0.0
+        for cycle in range(n):
+            x += rnd.uniform(-step, step) + step / 4
+            if rnd.random() < 0.9:
+                rows.append((*entity, cycle, round(x, 3), T0, "x", 1, 2))
+    df = spark.createDataFrame(rows + rows[:30], REPORTS.replace("state_index int", "state_index double"))
+    got = runs.collapse_runs(df, ["run_id", "replica_index"], "cycle_no", "state_index", "reported_at", tolerance, max_gap, block)
+    found = [(r.run_id, r.replica_index, r.state, r["first"], r.last, r.n_reports, r.n_delivered) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == _stretches(rows + rows[:30], tolerance, max_gap)
+
+
+def test_durations_do_not_hang_on_the_session_zone(spark, small):
+    want = {tuple(r) for r in llm.p1_events(spark, small).collect()}
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert {tuple(r) for r in llm.p1_events(spark, small).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_unknown_states_neither_break_nor_lengthen(spark):
     rows = [("a", 0, c, s, T0 + dt.timedelta(minutes=c), "", 0, 0) for c, s in enumerate([-1, 4, None, 4, -1, 4, None, 5, 5, -1])]
     got = runs.state_runs(spark.createDataFrame(rows, REPORTS)).orderBy("first").collect()
