@@ -43,12 +43,21 @@ def p5_day_sketches(spark, d):
     return sketch.sketch(messages.withColumn("day", F.to_date("attempted_at")), ["pair_i", "pair_j", "day"], "delta_energy", P5_ERROR)
 
 
+def digits(name: str):
+    """A number to 10 significant digits, whatever its size, so that both engines agree."""
+    return F.format_string("%.9e", F.col(name)).cast("double").alias(name)
+
+
 def p5_percentiles(spark, d):
-    """Percentiles of each pair over all runs on each day, and (day null) over all days, put together from the days' sketches."""
+    """Percentiles of each pair over all runs on each day, and (day null) over all days, put together from the days' sketches.
+
+    ``value`` is within 1 % of the exact one, which lies from ``low`` to ``high``.
+    """
     days = p5_day_sketches(spark, d)
     whole = sketch.merged(days, by=["pair_i", "pair_j"]).withColumn("day", F.lit(None).cast("date"))
     both = days.filter("day IS NOT NULL").unionByName(whole)
-    return sketch.percentiles(both, ["pair_i", "pair_j", "day"], P5_AT, P5_ERROR).withColumn("value", F.round("value", 6))
+    out = sketch.percentiles(both, ["pair_i", "pair_j", "day"], P5_AT, P5_ERROR)
+    return out.select("pair_i", "pair_j", "day", "n", "q", *(digits(c) for c in ("value", "low", "high")))
 
 
 def p6_ids(spark, d):
@@ -89,7 +98,7 @@ g AS (SELECT *, sum(brk) OVER (PARTITION BY run_id, replica_index ORDER BY cycle
 """
 
 _GAMMA = sketch.gamma_of(P5_ERROR)
-_SKETCH = rf"""
+_MESSAGES = r"""
 WITH r AS (
   SELECT *, CAST(regexp_extract(pair, '(\d+)\D+(\d+)', 1) AS INTEGER) AS a, CAST(regexp_extract(pair, '(\d+)\D+(\d+)', 2) AS INTEGER) AS b
   FROM exchange_record),
@@ -97,11 +106,14 @@ k AS (
   SELECT least(a, b) AS pair_i, greatest(a, b) AS pair_j, delta_energy AS x, CAST(attempted_at AS DATE) AS day, row_number() OVER (
     PARTITION BY run_id, launch_no, cycle_no, least(a, b), greatest(a, b) ORDER BY received_at NULLS LAST, record_id) AS n
   FROM r),
-s AS (
-  SELECT pair_i, pair_j, day, CASE WHEN abs(x) <= 1e-9 THEN 0 ELSE CAST(sign(x) AS INTEGER) END AS sign,
-    CASE WHEN abs(x) <= 1e-9 THEN 0 ELSE CAST(ceil(ln(abs(x)) / ln({_GAMMA!r}::DOUBLE)) AS INTEGER) END AS bucket
-  FROM k WHERE n = 1 AND isfinite(x))
+x AS (SELECT pair_i, pair_j, day, x FROM k WHERE n = 1 AND isfinite(x))
 """
+_BUCKET = f"CASE WHEN x = 0 THEN 0 ELSE CAST(ceil(ln(abs(x)) / ln({_GAMMA!r}::DOUBLE)) AS INTEGER) END"
+
+
+def _digits_sql(expression: str, name: str) -> str:
+    return f"CAST(format('{{:.9e}}', {expression}) AS DOUBLE) AS {name}"
+
 
 SQL = {
     "p1_found": _RUNS
@@ -123,14 +135,14 @@ m AS (
   FROM m JOIN e ON e.run_id = m.run_id AND e.replica_index = m.replica_index AND e.n = m.n + 1)
 SELECT run_id, replica_index, min(anchor) AS lam, min(m.cycle_no) AS first_cycle, max(m.cycle_no) AS last_cycle, count(*) AS n_reports, CAST(sum(k) AS BIGINT) AS n_delivered
 FROM m JOIN e USING (run_id, replica_index, n) GROUP BY run_id, replica_index, run""",
-    "p5_day_sketches": _SKETCH + "SELECT pair_i, pair_j, day, sign, bucket, count(*) AS n FROM s GROUP BY 1, 2, 3, 4, 5",
-    "p5_percentiles": _SKETCH
-    + f""", g AS (SELECT pair_i, pair_j, day, sign, bucket FROM s WHERE day IS NOT NULL UNION ALL SELECT pair_i, pair_j, NULL, sign, bucket FROM s),
-v AS (
-  SELECT pair_i, pair_j, day, CASE WHEN sign = 0 THEN 0 ELSE sign * pow({_GAMMA!r}::DOUBLE, bucket) * {2 / (_GAMMA + 1)!r}::DOUBLE END AS value, count(*) AS n
-  FROM g GROUP BY pair_i, pair_j, day, sign, bucket),
-u AS (SELECT *, sum(n) OVER (PARTITION BY pair_i, pair_j, day ORDER BY value ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY pair_i, pair_j, day) AS total FROM v),
-q AS (SELECT unnest([{', '.join(str(q) for q in P5_AT)}])::DOUBLE AS q)
-SELECT pair_i, pair_j, day, CAST(total AS BIGINT) AS n, q, round(value, 6) AS value
-FROM u, q WHERE upto >= greatest(1, ceil(q * total)) AND upto - n < greatest(1, ceil(q * total))""",
+    "p5_day_sketches": _MESSAGES + f"SELECT pair_i, pair_j, day, CAST(sign(x) AS INTEGER) AS sign, {_BUCKET} AS bucket, count(*) AS n FROM x GROUP BY ALL",
+    # The exact percentiles, by rank among all values; then the bucket of each, and null where its estimate missed the bound.
+    "p5_percentiles": _MESSAGES
+    + f""", g AS (SELECT pair_i, pair_j, day, x FROM x WHERE day IS NOT NULL UNION ALL SELECT pair_i, pair_j, NULL, x FROM x),
+u AS (SELECT *, row_number() OVER (PARTITION BY pair_i, pair_j, day ORDER BY x) AS rank, count(*) OVER (PARTITION BY pair_i, pair_j, day) AS n FROM g),
+q AS (SELECT unnest([{', '.join(str(q) for q in P5_AT)}])::DOUBLE AS q),
+e AS (SELECT pair_i, pair_j, day, n, q, x, sign(x) AS s, {_BUCKET} AS k FROM u, q WHERE rank = greatest(1, ceil(q * n))),
+f AS (SELECT *, s * pow({_GAMMA!r}::DOUBLE, k) * {2 / (_GAMMA + 1)!r}::DOUBLE AS v, s * pow({_GAMMA!r}::DOUBLE, k - 1) AS a, s * pow({_GAMMA!r}::DOUBLE, k) AS b FROM e)
+SELECT pair_i, pair_j, day, n, q, {_digits_sql(f"CASE WHEN abs(v - x) <= {P5_ERROR} * abs(x) * (1 + 1e-9) THEN v END", "value")},
+  {_digits_sql("CASE WHEN least(a, b) <= x + abs(x) * 1e-9 THEN least(a, b) END", "low")}, {_digits_sql("CASE WHEN greatest(a, b) >= x - abs(x) * 1e-9 THEN greatest(a, b) END", "high")} FROM f""",
 }

@@ -1,9 +1,9 @@
 """Percentiles of very large columns from mergeable counts in signed logarithmic buckets.
 
-Bucket k holds the values x with gamma**(k-1) < |x| <= gamma**k, gamma = (1+a)/(1-a).
+Bucket k holds the values x with gamma**(k-1) < |x| <= gamma**k, gamma = (1+a)/(1-a); zeros have sign 0.
 Sketches are rows (group, sign, bucket, n): they merge by adding counts, so results of
 days, batches or files can be put together in any order. The estimate
-2*gamma**k/(gamma+1) of any value in the bucket is off by at most the part ``a`` of it.
+2*gamma**k/(gamma+1) of any value in the bucket is off by at most the part ``a`` of it, down to the smallest double of full precision (2.2e-308).
 """
 
 from __future__ import annotations
@@ -14,9 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TINY = 1e-9  #: magnitudes up to this count as zero
-
-
 def gamma_of(error: float) -> float:
     if not 0 < error < 1:
         raise ValueError("the relative error must lie between 0 and 1")
@@ -37,7 +34,7 @@ def sketch(df: DataFrame, by: list[str], value: str, error: float = 0.01) -> Dat
     x = F.col(value).cast("double")
     size = F.abs(x)
     finite = x.isNotNull() & ~F.isnan(x) & (size < F.lit(float("inf")))
-    zero = size <= TINY
+    zero = size == 0
     return (
         df.filter(finite)
         .select(*by, F.when(zero, 0).otherwise(F.signum(x)).cast("int").alias("sign"), F.when(zero, 0).otherwise(F.ceil(F.log(size) / math.log(gamma_of(error)))).cast("int").alias("bucket"))
@@ -53,18 +50,17 @@ def merged(*sketches: DataFrame, by: list[str]) -> DataFrame:
 
 
 def percentiles(sketched: DataFrame, by: list[str], at: list[float], error: float = 0.01) -> DataFrame:
-    """Rows by, n, q, value: for each q in ``at`` the value of rank ceil(q*n), at least 1.
+    """Rows by, n, q, value, low, high: for each q in ``at`` the value of rank ceil(q*n), at least 1.
 
-    The value is within the part ``error`` of the exact one of that rank (or both are at
-    most 1e-9 in magnitude). ``sketched`` has one row per group, sign and bucket.
+    The exact one of that rank lies from ``low`` to ``high``, the ends of its bucket, and ``value`` is within the part
+    ``error`` of it. ``sketched`` has one row per group, sign and bucket.
     """
-    rows = sketched.withColumn("value", F.when(F.col("sign") == 0, F.lit(0.0)).otherwise(estimate(F.col("sign"), F.col("bucket"), error)))
     group = Window.partitionBy(*by)
-    upto = F.sum("n").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("upto", upto).withColumn("all", F.sum("n").over(group))
+    rising = group.orderBy("sign", F.col("sign") * F.col("bucket")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = sketched.withColumn("upto", F.sum("n").over(rising)).withColumn("all", F.sum("n").over(group))
     wanted = F.explode(F.array(*(F.struct(F.lit(float(q)).alias("q"), F.greatest(F.lit(1), F.ceil(F.lit(float(q)) * F.col("all"))).alias("rank")) for q in at))).alias("w")
-    return (
-        rows.select(*by, "value", "upto", "n", F.col("all"), wanted)
-        .filter((F.col("upto") >= F.col("w.rank")) & (F.col("upto") - F.col("n") < F.col("w.rank")))
-        .select(*by, F.col("all").alias("n"), F.col("w.q").alias("q"), "value")
-    )
+    found = rows.select(*by, "sign", "bucket", "upto", "n", F.col("all"), wanted).filter((F.col("upto") >= F.col("w.rank")) & (F.col("upto") - F.col("n") < F.col("w.rank")))
+    g, sign, bucket = F.lit(gamma_of(error)), F.col("sign"), F.col("bucket")
+    value = F.when(sign == 0, F.lit(0.0)).otherwise(estimate(sign, bucket, error))
+    ends = [sign * F.pow(g, bucket - 1), sign * F.pow(g, bucket)]
+    return found.select(*by, F.col("all").alias("n"), F.col("w.q").alias("q"), value.alias("value"), F.least(*ends).alias("low"), F.greatest(*ends).alias("high"))

@@ -98,7 +98,7 @@ def test_unknown_states_neither_break_nor_lengthen(spark):
 def test_percentiles_within_their_bound_however_merged(spark):
     rnd = random.Random(2)
     rows = [("hot" if k % 3 else rnd.choice("ab"), k % 5, rnd.choice([0.0, -1, 1]) * math.exp(rnd.gauss(0, 4))) for k in range(4000)]
-    rows += [("a", 1, float("nan")), ("a", 1, float("inf")), ("b", 2, None), (None, 1, 5.0), ("tiny", 1, 1e-12)]
+    rows += [("a", 1, float("nan")), ("a", 1, float("inf")), ("b", 2, None), (None, 1, 5.0), ("tiny", 1, 1e-12), ("tiny", 2, -1e-300), ("tiny", 2, 0.0)]
     df = spark.createDataFrame(rows, "g string, day int, x double")
     at = [0.0, 0.01, 0.5, 0.9, 1.0]
     whole = sketch.percentiles(sketch.sketch(df, ["g"], "x"), ["g"], at)
@@ -112,7 +112,7 @@ def test_percentiles_within_their_bound_however_merged(spark):
     for r in whole.collect():
         own = sorted(values[r.g])
         exact = own[max(1, math.ceil(r.q * len(own))) - 1]
-        assert r.n == len(own) and abs(r.value - exact) <= max(0.01 * abs(exact) * 1.000001, 1e-9)
+        assert r.n == len(own) and abs(r.value - exact) <= 0.01 * abs(exact) * 1.000001 and r.low <= exact * (1 + math.copysign(1e-9, exact)) and r.high >= exact * (1 - math.copysign(1e-9, exact))
     assert sketch.percentiles(sketch.sketch(df.filter("false"), ["g"], "x"), ["g"], at).count() == 0
 
 
