@@ -2,11 +2,15 @@
 
 Each stretch of non-ASCII characters, with the ASCII characters next to it, starts a
 best-first search. Its steps write a state back to bytes by one encoding and read the
-bytes by another (UTF-8 wherever valid sequences stand, the rest of the stretch
+bytes by any other (UTF-8 wherever valid sequences stand, the rest of the stretch
 stays), or unescape character references. States seen before are skipped by hash. The cost
 of a state says how implausible its characters are, one by one and side by side; each
-step adds to the cost, and the cheapest reachable state wins. A stretch that gets
-cheaper is garbled.
+step adds to the cost, and the cheapest reachable state wins: the search ends when no state
+left could pay. A stretch that gets cheaper is garbled.
+
+Stretches longer than ``PART`` are searched part by part; a chain found for one part is tried on the
+whole stretch. A search that has visited ``MOST_STATES`` states is given up and counted as unfinished, never
+taken for correct text in silence (:func:`unfinished_documents`).
 
 Stretches recur, so a task searches each distinct one once and keeps the results in a
 table of bounded size.
@@ -23,16 +27,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Encodings that texts are wrongly read by, and single-byte ones they were written in.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "iso8859-15", "iso8859-2", "koi8-r", "cp866", "cp1254", "cp852")
-SINGLE = (
-    ("cp1252", "cp1250"), ("cp1252", "cp1251"), ("cp1252", "koi8-r"), ("cp1252", "iso8859-2"), ("latin-1", "cp1252"), ("cp1251", "cp1252"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"),
-    ("cp1250", "cp1252"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("iso8859-15", "cp1252"), ("cp866", "cp1251"),
-    ("cp437", "cp1250"), ("cp850", "cp1250"), ("cp852", "cp1250"), ("mac_roman", "cp1250"),
-)
+USUAL = ("cp1252", "cp1250", "cp1251", "koi8-r")
+SINGLE = tuple((wrong, right) for wrong in READ_AS for right in READ_AS if wrong != right)
 
 # Letters of the corpus's languages beyond ASCII, and usual signs in articles.
 LETTERS = "äöüßÄÖÜẞéèêëàâùûîïôçœæÿÉÈÊËÀÂÙÛÎÏÔÇŒÆŸñáíóúÁÍÓÚÑãõÃÕąćęłńśźżĄĆĘŁŃŚŹŻåøÅØšžčřěŠŽČşŞğĞıİőűòìýÝﬀﬁﬂﬃﬄ"
@@ -41,12 +43,13 @@ SIGNS = "–—’‘“”„«»…§°±×÷µ·№€£¥©®™¶¬¿¡ªº
 DRAWING = "─│┌┐└┘├┤┬┴┼"
 
 STEP, REREAD = 1.0, 2.5  #: cost of a step that valid UTF-8 confirms, or of another one
+RARE = 0.5  #: further cost of text written in other encodings than UTF-8 and the usual ones
 ENTITY = 2.0  #: cost of a character reference
 LEAST = 0.9  #: the lowest cost of a character
 SEVERAL = 3  #: stretches of a text that a chain must mend before it is tried on the others
-MOST_PASSES = 4  #: over one text
 LOST = "\ufffd"
-MOST_STATES = 200  #: states visited from one start; far more than any chain of real misreadings needs
+PART = 64  #: characters of a stretch that are searched together
+MOST_STATES = 5_000  #: states visited from one start until the search counts as unfinished
 REMEMBERED = 200_000  #: distinct stretches whose result a task keeps
 
 _ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
@@ -90,8 +93,6 @@ def _kind(c: str) -> tuple[float, str, str]:
         if script == "C":
             return (1.0 if "а" <= c <= "я" or "А" <= c <= "Я" or c in "ёЁ" else 2.5), script, case
         return (1.2 if script == "G" else 4.5), script, case
-    if c in SIGNS:
-        return 1.5, "", "t" if c in "–—’‘“”„«»…·   " else "p"
     if category in ("Mn", "Cf"):
         return 2.0, "", "m"
     if category in ("Cc", "Cn", "Co") or c == LOST:
@@ -161,6 +162,10 @@ def apply(run: str, path: tuple[str, ...]) -> str:
     return run
 
 
+def _price(right: str) -> float:
+    return STEP if right == "utf-8" else REREAD if right in USUAL else REREAD + RARE
+
+
 def steps(run: str, reread: bool) -> Iterator[tuple[str, str, float]]:
     """States one step away, each with the step's name and cost."""
     for encoding in READ_AS:
@@ -171,18 +176,20 @@ def steps(run: str, reread: bool) -> Iterator[tuple[str, str, float]]:
         for wrong, right in SINGLE:
             new = _reread(run, wrong, right)
             if new != run:
-                yield f"{wrong}>{right}", new, REREAD
+                yield f"{wrong}>{right}", new, _price(right)
     if "&" in run:
         new = html.unescape(run)
         if new != run:
             yield "unescape", new, STEP
 
 
-def search(before: str, run: str, after: str) -> tuple[str, tuple[str, ...], float]:
-    """The cheapest state reachable from ``run``, the steps to it, and what is gained by them.
+def search(before: str, run: str, after: str) -> tuple[str, tuple[str, ...], float, bool]:
+    """The cheapest state reachable from ``run``, the steps to it, what is gained by them, and whether the search came to its end.
 
     A step is left out where even characters of the lowest cost couldn't make it pay.
     """
+    if len(run) > PART:
+        return _search_parts(before, run, after)
     begun = cost(before, run, after)
     best, best_total, path = run, begun, ()
     queue = [(begun, 0, run, (), 0.0)]
@@ -190,10 +197,10 @@ def search(before: str, run: str, after: str) -> tuple[str, tuple[str, ...], flo
     order = visited = 0
     while queue and visited < MOST_STATES:
         _, _, state, taken, spent = heapq.heappop(queue)
-        visited += 1
         size = len(html.unescape(state)) if "&" in state else len(state)
         if spent + STEP + LEAST * size / 4 >= best_total:
             continue
+        visited += 1
         for name, new, price in steps(state, spent + REREAD + LEAST * size < best_total):
             if hash(new) in seen:
                 continue
@@ -203,16 +210,31 @@ def search(before: str, run: str, after: str) -> tuple[str, tuple[str, ...], flo
             heapq.heappush(queue, (own, order, new, (*taken, name), spent + price))
             if own < best_total:
                 best, best_total, path = new, own, (*taken, name)
-    return best, path, begun - best_total
+    return best, path, begun - best_total, visited < MOST_STATES
+
+
+def _search_parts(before: str, run: str, after: str) -> tuple[str, tuple[str, ...], float, bool]:
+    """A long stretch: the chain of one of its parts that makes the whole cheapest."""
+    parts = [run[a : a + PART] for a in range(0, len(run), PART)]
+    sides = [before, *(p[-1] for p in parts)], [*(p[0] for p in parts[1:]), after]
+    found = [search(left, part, right) for left, part, right in zip(sides[0], parts, sides[1])]
+    begun = cost(before, run, after)
+    best, path, gain = run, (), 0.0
+    for chain in dict.fromkeys(f[1] for f in found if f[1]):
+        new = apply(run, chain)
+        own = begun - cost(before, new, after) - sum(STEP if c == "unescape" else _price(c.partition(">")[2]) for c in chain)
+        if own > gain:
+            best, path, gain = new, chain, own
+    return best, path, gain, all(f[3] for f in found)
 
 
 class Searcher:
     """Searches with a bounded memory of results."""
 
     def __init__(self):
-        self.known: dict[tuple[str, str, str], tuple[str, tuple[str, ...], float]] = {}
+        self.known: dict[tuple[str, str, str], tuple[str, tuple[str, ...], float, bool]] = {}
 
-    def __call__(self, before: str, run: str, after: str) -> tuple[str, tuple[str, ...], float]:
+    def __call__(self, before: str, run: str, after: str) -> tuple[str, tuple[str, ...], float, bool]:
         key = (_side(before), run, _side(after))
         if key not in self.known:
             if len(self.known) >= REMEMBERED:
@@ -241,35 +263,40 @@ def is_garbled(text: str, searched: Searcher) -> bool:
     return any(LOST in run or searched(before, run, after)[2] > 0 for _, before, run, after in stretches(text))
 
 
+def unfinished(text: str, searched: Searcher) -> int:
+    """How many stretches of a text have a search that was given up without a gain."""
+    return sum(not (found := searched(before, run, after))[3] and found[2] <= 0 for _, before, run, after in stretches(text))
+
+
 def restore(text: str, searched: Searcher) -> tuple[str, list[str], int]:
     """The text restored, the chains of steps used (most used first), and how many characters are lost.
 
-    Texts garbled several times over are gone through again while that helps.
+    Texts garbled several times over are gone through again until nothing changes.
     """
     chains: Counter[str] = Counter()
-    for _ in range(MOST_PASSES):
-        new, used = _one_pass(text, searched)
+    seen = {hash(text)}
+    while True:
+        text, used = _one_pass(text, searched)
         chains += used
-        if new == text:
-            break
-        text = new
-    return text, [c for c, _ in chains.most_common()], text.count(LOST)
+        if hash(text) in seen:
+            return text, [c for c, _ in chains.most_common()], text.count(LOST)
+        seen.add(hash(text))
 
 
 def _one_pass(text: str, searched: Searcher) -> tuple[str, Counter[str]]:
     """Each stretch in its cheapest state, and the chains used.
 
-    A chain that lowers the cost of several stretches of a text is also tried on its other
+    A chain that lowers the cost of ``SEVERAL`` stretches of a text is also tried on its other
     stretches, where one is too short to tell by itself.
     """
-    found = [(a, before, run, after, *searched(before, run, after)) for a, before, run, after in stretches(text)]
+    found = [(a, before, run, after, *searched(before, run, after)[:3]) for a, before, run, after in stretches(text)]
     used: Counter[tuple[str, ...]] = Counter()
     gains: Counter[tuple[str, ...]] = Counter()
     for *_, path, gain in found:
         if path:
             used[path] += 1
             gains[path] += gain
-    usual = [p for p, _ in gains.most_common(3) if used[p] >= SEVERAL]
+    usual = [p for p, _ in gains.most_common() if used[p] >= SEVERAL]
     out, last, chains = [], 0, Counter()
     for a, before, run, after, best, path, gain in found:
         before, after = _side(before), _side(after)
@@ -321,3 +348,16 @@ def restored_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(_restored, f"id {rows.schema['id'].dataType.simpleString()}, text string, chains array<string>, lost long")
     return out.withColumnRenamed("id", id_col)
+
+
+def _unfinished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    searched = Searcher()
+    for batch in batches:
+        left = pa.array([0 if t is None else unfinished(t, searched) for t in batch.column("text").to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), left], ["id", "stretches"]).filter(pa.compute.greater(left, 0))
+
+
+def unfinished_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col`` and ``stretches`` of each row with stretches whose search was given up: whether these are garbled isn't known."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_unfinished, f"id {rows.schema['id'].dataType.simpleString()}, stretches long").withColumnRenamed("id", id_col)

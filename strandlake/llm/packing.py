@@ -8,11 +8,12 @@ tight containers one without the item's source is taken.
 
 Items are spread by hash over shards of a bounded number of items, packed side by
 side. Containers that a shard leaves with much room are emptied and their items packed
-again with those of the other shards, until one shard holds them all or too few are left over less.
+again with those of the other shards, of each capacity until one shard holds them all or it is hardly left with fewer.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, insort
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ from strandlake.session import written
 SHARD = 20_000  #: items packed together at most, on average
 ROOM = 0.01  #: containers with more than this part of room left are packed again
 
-SHRINK = 0.7  #: packing goes on while it leaves at most this part of the items over
+SHRINK = 0.7  #: a capacity is packed again while that leaves at most this part of its items over
 
 _ITEM = "capacity long, doc_id {key}, piece long, first_token long, tokens long, source string, cluster string"
 _MANY = 1 << 32
@@ -74,8 +75,8 @@ def best_fit(sizes: list[int], sources: list[str | None], clusters: list[str | N
     return where, room
 
 
-def _packer(again: bool, room: float, turn: int):
-    """Packs one shard; with ``again``, containers with more than the part ``room`` left are marked."""
+def _packer(ends: set[int], room: float, turn: int):
+    """Packs one shard; containers with more than the part ``room`` left are marked unless their capacity ends here."""
 
     def pack(items: pa.Table) -> pa.Table:
         capacity, shard = items.column("capacity")[0].as_py(), items.column("shard")[0].as_py()
@@ -83,7 +84,7 @@ def _packer(again: bool, room: float, turn: int):
         where, left = best_fit(*(items.column(c).to_pylist() for c in ("tokens", "source", "cluster")), capacity)
         names = pa.array([f"{turn}.{shard}.{k}" for k in where])
         rooms = pa.array([left[k] for k in where], pa.int64())
-        reopen = pa.array([again and left[k] > room * capacity for k in where])
+        reopen = pa.array([capacity not in ends and left[k] > room * capacity for k in where])
         return items.drop_columns(["shard"]).append_column("container", names).append_column("room", rooms).append_column("reopen", reopen)
 
     return pack
@@ -112,7 +113,7 @@ def fill_containers(items: DataFrame, capacities: list[int], shard: int = SHARD,
         .select("capacity", "doc_id", "piece", "first_token", "tokens", "source", "cluster")
     )
     done: list[DataFrame] = []
-    turn, before = 0, None
+    turn, before = 0, {}
     while True:
         # how many items each capacity has: as many numbers as capacities
         sizes = {r["capacity"]: r["count"] for r in pieces.groupBy("capacity").count().collect()}
@@ -121,14 +122,14 @@ def fill_containers(items: DataFrame, capacities: list[int], shard: int = SHARD,
             break
         of = F.create_map(*(F.lit(x).cast("long") for pair in shards.items() for x in pair))
         spread = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), of[F.col("capacity")]))
-        # Where clashes keep containers open, packing again no longer helps and they stay as they are.
-        last = max(shards.values()) == 1 or (before is not None and sum(sizes.values()) > SHRINK * before)
-        before = sum(sizes.values())
-        pack = _packer(not last, room, turn)
+        # Where clashes keep containers of a capacity open, packing again no longer helps and they stay as they are.
+        ends = {c for c, n in sizes.items() if shards[c] == 1 or n > SHRINK * before.get(c, math.inf)}
+        before = sizes
+        pack = _packer(ends, room, turn)
         packed = spread.groupBy("capacity", "shard").applyInArrow(pack, _ITEM.format(key=key) + ", container string, room long, reopen boolean")
         packed = written(packed, "packed")
         done.append(packed.filter("NOT reopen").drop("reopen"))
-        if last:
+        if ends == set(sizes):
             break
         pieces = packed.filter("reopen").drop("reopen", "container", "room")
         turn += 1
@@ -136,3 +137,14 @@ def fill_containers(items: DataFrame, capacities: list[int], shard: int = SHARD,
     for part in done[1:]:
         out = out.unionByName(part)
     return out.select("capacity", "container", "doc_id", "piece", "first_token", "tokens", "room")
+
+
+def fill(placed: DataFrame) -> DataFrame:
+    """How well each capacity is filled: capacity, tokens, containers, least_containers, filled.
+
+    placed: the rows of :func:`fill_containers`. ``least_containers`` is the number below which no packing can go,
+    all tokens over the capacity; ``filled`` the part of all room that is taken.
+    """
+    held = placed.groupBy("capacity", "container").agg(F.sum("tokens").alias("tokens"))
+    sums = held.groupBy("capacity").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("containers"))
+    return sums.select("capacity", "tokens", "containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_containers"), (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("filled"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.llm import sketch
-from strandlake.llm.mojibake import garbled_documents, restored_documents
-from strandlake.llm.packing import fill_containers
+from strandlake.llm.mojibake import garbled_documents, restored_documents, unfinished_documents
+from strandlake.llm.packing import fill, fill_containers
 from strandlake.llm.runs import near_runs, state_runs
 from strandlake.llm.tokens import encode_corpus, token_counts
 from strandlake.operators.messages import one_copy
@@ -79,6 +79,12 @@ def p7_containers(spark, d):
     return placed.join(named, "capacity").select("container_kind", F.col("capacity").alias("capacity_tokens"), "container", "doc_id", "piece", "first_token", "tokens", "room")
 
 
+def p7_fill(spark, d):
+    """How full the containers of each kind are, beside the least number that any packing needs."""
+    placed = p7_containers(spark, d).withColumnRenamed("capacity_tokens", "capacity")
+    return fill(placed).withColumn("filled", F.round("filled", 6)).withColumnRenamed("capacity", "capacity_tokens")
+
+
 def p8_found(spark, d):
     return garbled_documents(table(spark, d, "documents"))
 
@@ -87,7 +93,12 @@ def p8_restored(spark, d):
     return restored_documents(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_events": p1_events, "p1_near": p1_near, "p5_percentiles": p5_percentiles, "p5_day_sketches": p5_day_sketches, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_restored": p8_restored}
+def p8_unfinished(spark, d):
+    """Documents with stretches whose search was given up; none where every search came to its end."""
+    return unfinished_documents(table(spark, d, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_events": p1_events, "p1_near": p1_near, "p5_percentiles": p5_percentiles, "p5_day_sketches": p5_day_sketches, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_restored": p8_restored, "p8_unfinished": p8_unfinished}
 
 _RUNS = """
 WITH e AS (

@@ -177,6 +177,8 @@ def test_containers_hold_every_token_once(spark, shard):
         want = Counter((i, k) for i, n, *_ in rows for k in range(max(1, -(-(n or 0) // capacity))))
         assert pieces == want and sum(r.tokens for held in bins.values() for r in held) == total
         assert len(bins) <= 1.06 * -(-total // capacity) + 2
+        full = packing.fill(packing.fill_containers(df, [64, 256], shard=shard)).filter(F.col("capacity") == capacity).first()
+        assert (full.tokens, full.containers, full.least_containers) == (total, len(bins), -(-total // capacity))
     assert packing.fill_containers(df.filter("false"), [64]).count() == 0
 
 
@@ -221,6 +223,38 @@ def test_single_bytes_twice_and_in_part():
     assert mojibake.is_garbled("r�plique", search) and mojibake.restore("r�plique", search)[2] == 1
 
 
+def test_garbled_articles_are_restored(small, spark):
+    """Correct articles of the test tables, misread: nearly all are found, and come back letter by letter."""
+    search = mojibake.Searcher()
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect() if r.text]
+    texts = [t for t in texts if not t.isascii() and not mojibake.is_garbled(t, search)]
+    found = back = tried = 0
+    for text in texts:
+        for read in ("cp1252", "latin-1", "cp1251"):
+            bad = "".join(c if c.isascii() else _wrong(c, read) if _readable(c, read) else c for c in text)
+            if bad != text:
+                tried += 1
+                found += mojibake.is_garbled(bad, search)
+                back += mojibake.restore(bad, search)[0] == text
+    assert tried > 100 and found >= 0.99 * tried and back >= 0.9 * tried, (tried, found, back)
+
+
+def test_long_stretches_are_searched_in_parts_and_unfinished_ones_counted(monkeypatch):
+    search, text = mojibake.Searcher(), "полнаяповерхность" * 40
+    bad = _wrong(text, "cp1252", "cp1251")
+    assert len(bad) > mojibake.PART and mojibake.restore(bad, search)[0] == text and not mojibake.unfinished(bad, search)
+    monkeypatch.setattr(mojibake, "MOST_STATES", 0)
+    assert mojibake.unfinished("é", mojibake.Searcher()) == 1
+
+
+def _readable(c, read):
+    try:
+        c.encode().decode(read)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def test_garbled_rows(spark):
     rows = [(1, "Größe", 0), (2, _wrong("Größe", "cp1252"), 0), (2, _wrong("Größe", "cp1252"), 0), (3, None, 0), (4, "", 0), (None, "x" * 100_000 + _wrong("é", "mac_roman"), 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, id int")
