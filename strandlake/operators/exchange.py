@@ -73,36 +73,89 @@ def round_trips(df: DataFrame, keys: Names, order: str, state: str, top: Column)
     return walkers.join(trips, list(keys), "left").withColumn("trips", F.coalesce("trips", F.lit(0)))
 
 
-# The log: one line per cycle, one per attempted pair, as text in order of ``line``.
+# The log of a run: a line for each attempted pair, and every few cycles, after its pairs, a report of the cycle with the
+# pairs' rates and the permutation. A pair's line doesn't tell its cycle: what can be read is the cycle reported last before it.
 
+# The patterns of a log's lines.
+_NUMBER = r"(\S+)"
+CYCLE_LINE = r"Cycle\s+(\d+)\s+\|.*Accept:\s+([0-9.]+)%\s+\|.*Elapsed:\s+([0-9.]+)s"
+PAIR_LINE = rf"Pair \((\d+),(\d+)\): V_go_i={_NUMBER} V_go_j={_NUMBER} ΔΔU={_NUMBER} P={_NUMBER} (\w+)"
+PERMUTATION_LINE = r"Permutation: \[([-0-9, ]*)\]"
+RATES_LINE = r"Pair rates: (.+)"
 
-def log_lines(messages: DataFrame) -> DataFrame:
-    """Messages as log lines: run_id, line (order), text. A cycle's line precedes those of its pairs."""
-    cycle = messages.groupBy("run_id", "cycle_no").agg(F.min("pair_i").alias("_f")).select(
-        "run_id", F.struct("cycle_no", F.lit(-1).alias("pair"), F.lit(0).alias("launch")).alias("line"), F.concat(F.lit("Cycle "), F.col("cycle_no"), F.lit(" | Replicas exchange")).alias("text")
-    )
+
+def log_lines(messages: DataFrame, every: int = 10, segment_ps: float = 100.0) -> DataFrame:
+    """Messages as log lines: run_id, line (order), text.
+
+    The lines of a cycle's pairs come first; its report follows where the cycle's number from 1 is divisible by ``every``, and after
+    a run's first cycle. Reports print that number and the acceptance so far. Columns ``energy_i`` and ``energy_j`` are printed if there are any, else 0.
+    """
+    shown = lambda c: F.coalesce((F.col(c) if c in messages.columns else F.lit(0.0)).cast("string"), F.lit("nan"))
     pair = messages.select(
-        "run_id", F.struct("cycle_no", F.col("pair_i").alias("pair"), F.col("launch_no").alias("launch")).alias("line"),
+        "run_id", F.struct("cycle_no", F.lit(0).alias("kind"), F.col("pair_i").alias("pair"), F.col("launch_no").alias("launch")).alias("line"),
         F.concat(
-            F.lit("  Pair ("), F.col("pair_i"), F.lit(","), F.col("pair_j"), F.lit("): dU="), F.coalesce(F.col("delta_energy").cast("string"), F.lit("?")),
-            F.when(F.col("accepted"), F.lit(" SWAP")).otherwise(F.lit(" keep")),
+            F.lit("  Pair ("), F.col("pair_i"), F.lit(","), F.col("pair_j"), F.lit("): V_go_i="), shown("energy_i"), F.lit(" V_go_j="), shown("energy_j"), F.lit(" ΔΔU="), shown("delta_energy"),
+            F.lit(" P="), shown("probability"), F.when(F.col("accepted"), F.lit(" SWAP")).otherwise(F.lit(" keep")),
         ).alias("text"),
     )
-    return cycle.unionByName(pair)
+    cycles = messages.groupBy("run_id", "cycle_no").agg(F.count(F.lit(1)).alias("n"), F.count_if("accepted").alias("k"))
+    w = Window.partitionBy("run_id").orderBy("cycle_no").rowsBetween(Window.unboundedPreceding, 0)
+    cycles = cycles.withColumns({"rate": 100 * F.sum("k").over(w) / F.sum("n").over(w), "first": F.first("cycle_no").over(w)})
+    number = F.col("cycle_no") + 1
+    text = F.format_string("Cycle %6d | Time: %8.1f ns | Accept: %5.1f%% | Elapsed: %6.1fs", number, number * segment_ps / 1000, "rate", F.lit(0.0))
+    report = cycles.filter((number % every == 0) | (F.col("cycle_no") == F.col("first")))
+    report = report.select("run_id", F.struct("cycle_no", F.lit(1).alias("kind"), F.lit(0).alias("pair"), F.lit(0).alias("launch")).alias("line"), text.alias("text"))
+    return pair.unionByName(report)
+
+
+def _cycle_of() -> Column:
+    return F.nullif(F.regexp_extract("text", CYCLE_LINE, 1), F.lit("")).try_cast("bigint")
+
+
+def reported_cycle(lines: DataFrame, keys: Names, order: str, stretch: Column) -> DataFrame:
+    """Lines with ``attributed_cycle``: that of the last report before each in its log, 0 before the first.
+
+    ``stretch`` never falls as ``order`` rises and cuts a log into pieces that are filled on their own; only the last report of
+    each piece passes on to the pieces after it, so no log has to pass through one task.
+    """
+    rows = lines.withColumns({"_stretch": stretch, "_cycle": _cycle_of()})
+    marks = rows.filter("_cycle IS NOT NULL").groupBy(*keys, "_stretch").agg(F.max_by("_cycle", order).alias("_c"))
+    pieces = rows.select(*keys, "_stretch").distinct().join(marks, [*keys, "_stretch"], "left")
+    before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(*keys, "_stretch", F.last("_c", ignorenulls=True).over(before).alias("_carried"))
+    own = Window.partitionBy(*keys, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_own", F.last("_cycle", ignorenulls=True).over(own)).join(pieces, [*keys, "_stretch"])
+    return rows.withColumn("attributed_cycle", F.coalesce("_own", "_carried", F.lit(0))).drop("_stretch", "_cycle", "_own", "_carried")
+
+
+def parsed_log(lines: DataFrame, keys: Names = ("run_id",), order: str = "line", stretch: Column | None = None) -> DataFrame:
+    """Pair lines of logs: keys, attributed_cycle, pair_i, pair_j, energy_i, energy_j, delta_energy, probability, accepted.
+
+    See :func:`reported_cycle`. Lines of other kinds are passed over; a number that can't be read is null. Logs without lines of pairs give no rows.
+    """
+    text = F.col("text")
+    part = lambda k: F.regexp_extract(text, PAIR_LINE, k)
+    rows = lines.filter(text.contains("Pair (") | text.contains("Cycle"))
+    rows = reported_cycle(rows, keys, order, F.lit(0) if stretch is None else stretch).filter(text.rlike(PAIR_LINE))
+    return rows.select(
+        *keys, "attributed_cycle", part(1).try_cast("int").alias("pair_i"), part(2).try_cast("int").alias("pair_j"), *(part(k).try_cast("double").alias(n) for k, n in ((3, "energy_i"), (4, "energy_j"), (5, "delta_energy"), (6, "probability"))),
+        (part(7) == "SWAP").alias("accepted"),
+    )
 
 
-def parsed_log(lines: DataFrame, keys: Names = ("run_id",), order: str = "line") -> DataFrame:
-    """Pair lines of a log with the cycle reported last before them (0 if none): keys, cycle_no, pair_i, pair_j, delta_energy, accepted.
+def parsed_reports(lines: DataFrame, keys: Names = ("run_id",), order: str = "line", stretch: Column | None = None) -> DataFrame:
+    """Reports of logs, one row for each: keys, cycle_no, accept (percent), elapsed (s), rates (percent, by pair), permutation.
 
-    Lines of other kinds are passed over; a number that can't be read is null.
+    The rates and the permutation stand in lines of their own after the cycle's; null where a report lacks them.
     """
     text = F.col("text")
-    cycle = F.expr(r"try_cast(nullif(regexp_extract(text, '^Cycle (\\d+)', 1), '') AS bigint)")
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("cycle_no", F.coalesce(F.last(cycle, ignorenulls=True).over(w), F.lit(0)))
-    pattern = r"Pair \((\d+),(\d+)\): dU=(\S+) (SWAP|keep)"
-    part = lambda k: F.regexp_extract(text, pattern, k)
-    out = rows.filter(text.rlike(pattern)).select(
-        *keys, "cycle_no", part(1).cast("int").alias("pair_i"), part(2).cast("int").alias("pair_j"), part(3).alias("_d"), (part(4) == "SWAP").alias("accepted")
+    rows = lines.filter(text.contains("Cycle") | text.contains("Pair rates:") | text.contains("Permutation:"))
+    rows = reported_cycle(rows, keys, order, F.lit(0) if stretch is None else stretch)
+    value = lambda pattern, k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
+    rates = F.transform(F.split(value(RATES_LINE, 1), r"\s*\|\s*"), lambda v: F.rtrim(F.regexp_replace(v, "%", "")).try_cast("double"))
+    permutation = F.transform(F.split(value(PERMUTATION_LINE, 1), r"\s*,\s*"), lambda v: F.trim(v).try_cast("int"))
+    first = lambda c: F.first(c, ignorenulls=True)
+    out = rows.groupBy(*keys, F.col("attributed_cycle").alias("cycle_no")).agg(
+        first(value(CYCLE_LINE, 2).try_cast("double")).alias("accept"), first(value(CYCLE_LINE, 3).try_cast("double")).alias("elapsed"), first(rates).alias("rates"), first(permutation).alias("permutation")
     )
-    return out.withColumn("delta_energy", F.expr("try_cast(_d AS double)")).drop("_d")
+    return out.filter("accept IS NOT NULL")

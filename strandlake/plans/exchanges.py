@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from strandlake.operators import exchange as X
 from strandlake.operators.messages import one_copy
 from strandlake.plans.common import STATES_SQL, rounded, trajectories
-from strandlake.session import table
+from strandlake.session import shared_path, table
+from strandlake.sources import runs as R
 
 QUERIES, SQL = {}, {}
 
@@ -147,12 +148,35 @@ SELECT w.run_id, w.replica_index, coalesce(trips, 0) AS trips, first_end, last_e
 )
 
 
+def _logged(spark, d):
+    messages = one_copy(table(spark, d, "exchange_record"), "delta_energy", "probability", "accepted").filter("pair_i IS NOT NULL")
+    return X.log_lines(messages)
+
+
 def log_parse(spark, d):
     """The messages written as log lines and read back, each pair with the cycle reported before it."""
-    return rounded(X.parsed_log(X.log_lines(_messages(spark, d))), "delta_energy", digits=7)
+    found = X.parsed_log(_logged(spark, d), stretch=F.floor(F.col("line.cycle_no") / 512))
+    return rounded(found.drop("energy_i", "energy_j"), "delta_energy", "probability", digits=7)
+
+
+def log_files(spark, d):
+    """The same by way of files, one log for each run, read in blocks."""
+    path = shared_path(spark, "logs")
+    R.write_logs(_logged(spark, d), path)
+    found = R.read_log(spark, path).withColumn("run_id", F.regexp_extract("file", "run_id=([^/]+)/", 1))
+    return rounded(found.drop("file", "energy_i", "energy_j"), "delta_energy", "probability", digits=7)
 
 
-SQL["log_parse"] = _MESSAGES + "SELECT run_id, cycle_no, pair_i, pair_j, coalesce(accepted, false) AS accepted, round(delta_energy, 7) + 0.0 AS delta_energy FROM m"
+_REPORTED = (
+    _MESSAGES
+    + """, c AS (SELECT run_id, cycle_no, min(cycle_no) OVER (PARTITION BY run_id) AS first FROM (SELECT DISTINCT run_id, cycle_no FROM m)),
+rp AS (SELECT run_id, cycle_no FROM c WHERE (cycle_no + 1) % 10 = 0 OR cycle_no = first)"""
+)
+SQL["log_parse"] = SQL["log_files"] = (
+    _REPORTED
+    + """SELECT m.run_id, coalesce(rp.cycle_no + 1, 0) AS attributed_cycle, pair_i, pair_j, coalesce(accepted, false) AS accepted, round(coalesce(delta_energy, 'nan'::DOUBLE), 7) + 0.0 AS delta_energy,
+  round(coalesce(probability, 'nan'::DOUBLE), 7) + 0.0 AS probability FROM m ASOF LEFT JOIN rp ON m.run_id = rp.run_id AND m.cycle_no > rp.cycle_no"""
+)
 
 
 def effective_temperatures(spark, d):
@@ -180,6 +204,6 @@ FROM t JOIN hremc_run USING (run_id) WHERE energy < 0 AND energy > -1e7 GROUP BY
 
 for _f in (
     acceptance_rollup, acceptance_by_run, acceptance_flags, metropolis_probability, checkpoint_pair_rates, replica_flow, replica_occupancy, checkpoint_energies, checkpoint_totals,
-    round_trips, log_parse, effective_temperatures, system_summary,
+    round_trips, log_parse, log_files, effective_temperatures, system_summary,
 ):
     QUERIES[_f.__name__] = _f

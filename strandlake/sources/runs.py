@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.text import number
-from strandlake.operators.exchange import parsed_log
+from strandlake.operators.exchange import parsed_log, parsed_reports
 from strandlake.sources.text import lines
 
 CHECKPOINT = """
@@ -33,9 +33,22 @@ def read_mutations(spark: SparkSession, path: str) -> DataFrame:
     return out.filter("position IS NOT NULL")
 
 
+STRETCH = 200_000  #: lines of a log that are numbered on their own
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Pair lines of log files with the cycle reported before them."""
-    return parsed_log(lines(spark, path), ["file"], "line")
+    """Pair lines of log files with the cycle reported before them; see :func:`parsed_log`."""
+    return parsed_log(lines(spark, path), ["file"], "line", F.floor(F.col("line") / STRETCH))
+
+
+def read_log_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Cycle reports of log files; see :func:`parsed_reports`."""
+    return parsed_reports(lines(spark, path), ["file"], "line", F.floor(F.col("line") / STRETCH))
+
+
+def write_logs(rows: DataFrame, path: str) -> None:
+    """Write lines (run_id, line, text) as one file for each run, below ``run_id=...``, in order."""
+    rows.repartition("run_id").sortWithinPartitions("run_id", "line").select("run_id", "text").write.partitionBy("run_id").text(path)
 
 
 def read_energies(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:

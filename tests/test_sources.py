@@ -1,9 +1,13 @@
 """Readers and writers on small files of their own."""
 
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
 from strandlake.operators.exchange import round_trips
 from strandlake.sources import runs, structure, text
 from strandlake.streaming import live
-from pyspark.sql import functions as F
 
 
 def put(folder, name, content):
@@ -50,12 +54,36 @@ def test_run_files(spark, tmp_path):
     assert runs.read_checkpoints(spark, str(tmp_path / "*.json"), latest=True).count() == 2
     assert [(r.replica, r.lam) for r in runs.read_ladder(spark, put(tmp_path, "l.dat", "# r lam\n0 1.0 310\n1 0.5 620\n")).collect()] == [(0, 1.0), (1, 0.5)]
     assert [(r.chain, r.position, r.mutant) for r in runs.read_mutations(spark, put(tmp_path, "m.txt", "# x\nA 12 r h\nbad line\nA z R H\n")).collect()] == [("A", 12, "H")]
-    log = "start\n  Pair (0,1): dU=1.5 keep\nCycle 3 | x\n  Pair (0,1): dU=-2 SWAP\n  Pair (2,3): dU=? keep\nnoise\n"
-    assert [(r.cycle_no, r.pair_i, r.delta_energy, r.accepted) for r in runs.read_log(spark, put(tmp_path, "a.log", log)).collect()] == [(0, 0, 1.5, False), (3, 0, -2.0, True), (3, 2, None, False)]
     rows = text.sections(spark, put(tmp_path, "a.top", "[ atoms ]\n; c\n1 P 2 ; x\n\n[ molecules ]\nPOPC 12\n")).orderBy("line").collect()
     assert [(r.section, r.words) for r in rows] == [("atoms", ["1", "P", "2"]), ("molecules", ["POPC", "12"])]
 
 
+LOG = """2025-03-01 10:00:00 | INFO | starting
+2025-03-01 10:00:07 | DEBUG |   Pair (0,1): V_go_i=-812.4 V_go_j=-790.1 ΔΔU=1.53 P=0.541 keep
+2025-03-01 10:00:07 | DEBUG |   Pair (2,3): V_go_i=-640.0 V_go_j=-655.9 ΔΔU=-0.80 P=1.000 SWAP
+2025-03-01 10:00:07 | INFO | Cycle      1 | Time:      0.1 ns | Accept: 50.0% | Elapsed:   41.2s
+2025-03-01 10:00:07 | DEBUG |   Pair rates: 0% | 100% | 0%
+2025-03-01 10:00:07 | DEBUG |   Permutation: [0, 1, 3, 2]
+2025-03-01 10:00:49 | DEBUG |   Pair (1,2): V_go_i=nan V_go_j=-641.2 ΔΔU=? P=1.000 keep
+noise
+2025-03-01 10:07:00 | INFO | Cycle     10 | Time:      1.0 ns | Accept: 33.3% | Elapsed:   40.0s
+2025-03-01 10:07:42 | DEBUG |   Pair (0,1): V_go_i=-801.0 V_go_j=-799.0 ΔΔU=2e-3 P=0.999 SWAP
+"""
+
+
+@pytest.mark.parametrize("stretch", [3, 200_000])
+def test_exchange_logs(spark, tmp_path, monkeypatch, stretch):
+    """The engine's log: a pair's line carries the cycle reported before it, also across stretches; two logs don't mix."""
+    monkeypatch.setattr(runs, "STRETCH", stretch)
+    put(tmp_path, "a.log", LOG), put(tmp_path, "b.log", "\n".join(LOG.splitlines()[-1:]) + "\n"), put(tmp_path, "c.log", "Cycle 5 | nothing else\n")
+    got = runs.read_log(spark, str(tmp_path / "*.log")).withColumn("f", F.substring_index("file", "/", -1)).collect()
+    rows = sorted((r.f, r.attributed_cycle, r.pair_i, r.pair_j, r.energy_j, r.delta_energy, r.probability, r.accepted) for r in got if r.delta_energy is not None)
+    assert rows == [("a.log", 0, 0, 1, -790.1, 1.53, 0.541, False), ("a.log", 0, 2, 3, -655.9, -0.8, 1.0, True), ("a.log", 10, 0, 1, -799.0, 0.002, 0.999, True), ("b.log", 0, 0, 1, -799.0, 0.002, 0.999, True)]
+    assert [(r.attributed_cycle, r.pair_i, math.isnan(r.energy_i)) for r in got if r.delta_energy is None] == [(1, 1, True)]
+    reports = {r.cycle_no: (r.accept, r.elapsed, r.rates, r.permutation) for r in runs.read_log_reports(spark, str(tmp_path / "a.log")).collect()}
+    assert reports == {1: (50.0, 41.2, [0.0, 100.0, 0.0], [0, 1, 3, 2]), 10: (33.3, 40.0, None, None)}
+
+
 def test_round_trips_need_the_top_first(spark):
     df = spark.createDataFrame([("w", k, s) for k, s in enumerate([0, 1, 2, 1, 2, 0, 0, 2, 1, 0])] + [("v", 0, 1)], "w string, c long, s int")
     assert {r.w: (r.trips, r.first_end, r.last_end) for r in round_trips(df, ["w"], "c", "s", F.lit(2)).collect()} == {"w": (2, 5, 9), "v": (0, None, None)}
