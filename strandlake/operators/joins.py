@@ -131,6 +131,35 @@ def within_distance(a: DataFrame, b: DataFrame, xyz: Names, radius: float, paylo
     return pairs.select(*by, *(f"a_{c}" for c in payload_a), *(f"b_{c}" for c in payload_b), "distance")
 
 
+DENSE = 20_000  #: points of a cell that are compared in one task
+
+
+def neighbours(points: DataFrame, xyz: Names, radius: float, payload: Names, by: Names = (), dense: int = DENSE) -> DataFrame:
+    """Pairs of points of one set closer than ``radius``, each once: by, payload of both (prefixed a_, b_), distance.
+
+    The first column of ``payload`` must be unique in ``by`` and not null; a is the point with the smaller one. Every point falls into its
+    own cell and meets those of its own and of half of the cells around it, so no pair is made twice. A cell of more than ``dense``
+    points is parted: each part meets copies of the points around, so many tasks share it. Points with a null or NaN coordinate are left out.
+    """
+    first, names = payload[0], list(dict.fromkeys([*payload, *xyz]))
+    cell = [f"_c{n}" for n in range(len(xyz))]
+    known = points.dropna(subset=[*by, first, *xyz]).select(*by, *names, *(F.floor(F.col(c) / radius).alias(k) for k, c in zip(cell, xyz)))
+    crowded = known.groupBy(*by, *cell).agg(F.ceil(F.count(F.lit(1)) / dense).alias("_parts")).filter("_parts > 1")
+    left = known.select(*by, *(F.col(c).alias(f"a_{c}") for c in names), *cell).join(crowded, [*by, *cell], "left")
+    left = left.withColumn("_part", F.pmod(F.xxhash64(f"a_{first}"), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    ahead = [s for s in product((-1, 0, 1), repeat=len(xyz)) if s >= (0,) * len(xyz)]  # itself and the half of the neighbours that comes after it
+    shifts = F.explode(F.array(*(F.struct(*((F.col(k) - d).alias(k) for k, d in zip(cell, s)), F.lit(not any(s)).alias("_own")) for s in ahead))).alias("_s")
+    right = known.select(*by, *(F.col(c).alias(f"b_{c}") for c in names), shifts).select(*by, *(f"b_{c}" for c in names), "_s.*").join(crowded, [*by, *cell], "left")
+    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    off = [F.col(f"a_{c}") - F.col(f"b_{c}") for c in xyz]
+    square = sum((d * d for d in off), F.lit(0.0))
+    near = (square < radius * radius) & (~F.col("_own") | (F.col(f"a_{first}") < F.col(f"b_{first}")))
+    pairs = left.join(right, [*by, *cell, "_part"]).filter(near)
+    turn = F.col(f"a_{first}") > F.col(f"b_{first}")
+    either = [F.when(turn, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{y}_{c}") for y, x in (("a", "b"), ("b", "a")) for c in payload]
+    return pairs.select(*by, *either, F.sqrt(square).alias("distance"))
+
+
 MOST_MEDOIDS = 10_000  #: rows of a query set that may be sent to every task
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.operators.joins import within_distance
+from strandlake.operators.joins import neighbours
 
 Names = Sequence[str]
 
@@ -38,7 +38,7 @@ def diameters(points: DataFrame, by: Names, xyz: Names) -> DataFrame:
     points = points.dropna(subset=list(xyz)).select(*by, *(F.col(c).alias(f"_{n}") for c, n in zip(xyz, "xyz")))
     centre = points.groupBy(*by).agg(*(F.avg(f"_{n}").alias(f"_c{n}") for n in "xyz"))
     x, y, z = (F.col(f"_{n}") - F.col(f"_c{n}") for n in "xyz")
-    both = points.join(centre, list(by)) if by else points.crossJoin(centre)  # one row of means
+    both = points.join(centre, list(by)) if by else points.crossJoin(F.broadcast(centre))  # one row of means
     return both.groupBy(*by).agg((2 * F.max(F.sqrt(x * x + y * y + z * z))).alias("diam"), (2 * F.max(F.hypot(x, y))).alias("diam_xy"))
 
 
@@ -60,7 +60,7 @@ def cross_section(points: DataFrame, by: Names, xyz: Names, spacing: float, low:
 
 def native_contacts(points: DataFrame, by: Names, index: str, xyz: Names, cutoff: float, apart: int = 4) -> DataFrame:
     """Pairs of points closer than ``cutoff`` and at least ``apart`` apart in ``index``: by, i, j, distance (i < j)."""
-    pairs = within_distance(points, points, xyz, cutoff, [index], [index], by)
+    pairs = neighbours(points, xyz, cutoff, [index], by)
     return pairs.filter(F.col(f"b_{index}") - F.col(f"a_{index}") >= apart).select(*by, F.col(f"a_{index}").alias("i"), F.col(f"b_{index}").alias("j"), "distance")
 
 
@@ -93,7 +93,7 @@ def along_axes(points: DataFrame, by: Names, xyz: Names) -> DataFrame:
     spread = {f"_m{i}{j}": F.covar_pop(a[i], a[j]) for i in range(3) for j in range(i, 3)}
     sums = points.groupBy(*by).agg(n.alias("_n"), *(F.avg(c).alias(f"_c{k}") for k, c in enumerate(a)), *(v.alias(k) for k, v in spread.items()))
     axes = sums.select(*by, "_c0", "_c1", "_c2", _axes(*spread).alias("_axes"))
-    both = points.join(axes, list(by)) if by else points.crossJoin(axes)  # one row of axes
+    both = points.join(axes, list(by)) if by else points.crossJoin(F.broadcast(axes))  # one row of axes
     moved = [F.col(c) - F.col(f"_c{k}") for k, c in enumerate(xyz)]
     new = {c: sum((moved[j] * F.col("_axes")[3 * k + j] for j in range(3)), F.lit(0.0)) for k, c in enumerate(xyz)}
     return both.withColumns(new).drop("_c0", "_c1", "_c2", "_axes")

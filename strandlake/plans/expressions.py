@@ -217,7 +217,7 @@ SQL["affine_map"] = EVENTS_SQL + "SELECT event_id, round((x * cos(radians(30)) -
 def contact_energy(spark, d):
     """Energy of close events of each type, taken as points in space."""
     a = events(spark, d).select("event_type", "event_id", (F.col("x") / 24).alias("x"), (F.col("y") / 10).alias("y"), F.col("user_id").cast("double").alias("z"))
-    pairs = J.within_distance(a, a, ["x", "y", "z"], 2.0, ["event_id"], ["event_id"], ["event_type"]).filter("a_event_id < b_event_id AND distance > 0.5")
+    pairs = J.neighbours(a, ["x", "y", "z"], 2.0, ["event_id"], ["event_type"]).filter("distance > 0.5")
     return rounded(pairs.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(P.pair_energy(0.9, 0.8, F.col("distance"))).alias("energy")), "energy", digits=4)
 
 

@@ -77,43 +77,53 @@ def fit_nonlinear(spark, d):
     return fit.withColumn("parameters", F.transform("parameters", lambda c: F.round(c, 3))).withColumn("rss", F.round("rss", 2))
 
 
-def fourier_terms(spark, d):
-    """The 8 lowest terms only, as in the SQL; all of them: fourier_spectrum."""
-    return rounded(G.spectrum(events(spark, d), USER, BY_TIME, "y", 8).drop("phase"), "re", "im", "magnitude", digits=5)
+def fourier_spectrum(spark, d):
+    """All terms of each user, k = 0..n/2."""
+    return rounded(G.spectrum(events(spark, d), USER, BY_TIME, "y").drop("phase"), "re", "im", "magnitude", digits=5)
 
 
-_FOURIER = (
+_SPECTRUM = (
     EVENTS_SQL
-    + """, t AS (SELECT user_id, k::INTEGER AS k, sum(y * cos(2 * pi() * ((pos * k) % n) / n)) / max(n) AS re, -sum(y * sin(2 * pi() * ((pos * k) % n) / n)) / max(n) AS im
-  FROM e, generate_series(0, 7) AS g(k) WHERE k * 2 <= n GROUP BY 1, 2)"""
+    + """, t AS (SELECT user_id, k::INTEGER AS k, max(n) AS n, sum(y * cos(2 * pi() * ((pos * k) % n) / n)) / max(n) AS re, -sum(y * sin(2 * pi() * ((pos * k) % n) / n)) / max(n) AS im
+  FROM (SELECT *, unnest(generate_series(0, n // 2)) AS k FROM e) GROUP BY 1, 2),
+f AS (SELECT user_id, k, re, im, CASE WHEN 2 * k = n THEN 1 ELSE 2 END * sqrt(re * re + im * im) AS m FROM t)"""
 )
-SQL["fourier_terms"] = _FOURIER + "SELECT user_id, k, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im, round(2 * sqrt(re * re + im * im), 5) + 0.0 AS magnitude FROM t"
+SQL["fourier_spectrum"] = _SPECTRUM + "SELECT user_id, k, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im, round(m, 5) + 0.0 AS magnitude FROM f"
+
+
+def fourier_terms(spark, d):
+    """Magnitude of all terms of each user above k = 0, and its part of the power of them all."""
+    terms = G.spectrum(events(spark, d), USER, BY_TIME, "y").filter("k > 0")
+    power = F.col("magnitude") * F.col("magnitude")
+    return rounded(terms.select("user_id", "k", "magnitude", (power / F.sum(power).over(G.Window.partitionBy("user_id"))).alias("part")), "magnitude", "part", digits=7)
+
+
+SQL["fourier_terms"] = _SPECTRUM + "SELECT user_id, k, round(m, 7) + 0.0 AS magnitude, round(m * m / sum(m * m) OVER (PARTITION BY user_id), 7) + 0.0 AS part FROM f WHERE k > 0"
 
 
 def dominant_frequency(spark, d):
-    """The strongest of the 8 lowest terms only, as in the SQL; of all: strongest_frequency."""
-    return rounded(G.dominant_frequency(events(spark, d), USER, BY_TIME, "y", 8), "magnitude", digits=5)
+    """The strongest of all terms of each user above k = 0, and its part of the power of them all."""
+    terms = G.spectrum(events(spark, d), USER, BY_TIME, "y").filter("k > 0")
+    power = terms.groupBy(*USER).agg(F.sum(F.col("magnitude") * F.col("magnitude")).alias("_power"))
+    best = G.dominant_frequency(events(spark, d), USER, BY_TIME, "y").join(power, USER)
+    return rounded(best.select(*USER, "k", "magnitude", (F.col("magnitude") * F.col("magnitude") / F.col("_power")).alias("part")), "magnitude", "part", digits=5)
 
 
 SQL["dominant_frequency"] = (
-    _FOURIER
-    + """, m AS (SELECT user_id, k, round(2 * sqrt(re * re + im * im), 9) AS m FROM t WHERE k > 0)
-SELECT user_id, arg_min(k, (-m, k)) AS k, round(max(m), 5) + 0.0 AS magnitude FROM m GROUP BY 1"""
+    _SPECTRUM
+    + """, g AS (SELECT user_id, k, m, round(m, 9) AS r FROM f WHERE k > 0)
+SELECT user_id, arg_min(k, (-r, k)) AS k, round(max(r), 5) + 0.0 AS magnitude, round(max(r) * max(r) / sum(m * m), 5) + 0.0 AS part FROM g GROUP BY 1"""
 )
 
 
-def fourier_spectrum(spark, d):
-    """All terms of each user, k = 0..n/2."""
-    return rounded(G.spectrum(events(spark, d), USER, BY_TIME, "y").drop("phase"), "re", "im", "magnitude", digits=5)
+def inverse_fourier(spark, d):
+    """Each user's values back from all their terms."""
+    df = events(spark, d)
+    lengths = df.groupBy(*USER).agg(F.count(F.lit(1)).alias("n"))
+    return rounded(G.inverse_spectrum(G.spectrum(df, USER, BY_TIME, "y"), USER, lengths), "y", digits=5)
 
 
-_SPECTRUM = (
-    EVENTS_SQL
-    + """, t AS (SELECT user_id, k::INTEGER AS k, max(n) AS n, sum(y * cos(2 * pi() * ((pos * k) % n) / n)) / max(n) AS re, -sum(y * sin(2 * pi() * ((pos * k) % n) / n)) / max(n) AS im
-  FROM (SELECT *, unnest(generate_series(0, n // 2)) AS k FROM e) GROUP BY 1, 2),
-f AS (SELECT user_id, k, re, im, CASE WHEN 2 * k = n THEN 1 ELSE 2 END * sqrt(re * re + im * im) AS m FROM t)"""
-)
-SQL["fourier_spectrum"] = _SPECTRUM + "SELECT user_id, k, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im, round(m, 5) + 0.0 AS magnitude FROM f"
+SQL["inverse_fourier"] = EVENTS_SQL + "SELECT user_id, pos, round(y, 5) + 0.0 AS y FROM e"
 
 
 def strongest_frequency(spark, d):
@@ -144,5 +154,5 @@ def straighten_points(spark, d):
     return G.straightened(events(spark, d), ["event_type"], BY_TIME, "x", "y", 200.0).select("event_type", "event_id")
 
 
-for _f in (spline_curve, straighten_points, regress_linear, regress_residuals, regress_polynomial, fit_nonlinear, fourier_terms, dominant_frequency, fourier_spectrum, strongest_frequency, akima_curve, prune_points):
+for _f in (spline_curve, straighten_points, regress_linear, regress_residuals, regress_polynomial, fit_nonlinear, fourier_terms, dominant_frequency, inverse_fourier, fourier_spectrum, strongest_frequency, akima_curve, prune_points):
     QUERIES[_f.__name__] = _f

@@ -250,8 +250,7 @@ def _atoms(spark, d):
 
 def contact_pairs(spark, d):
     atoms = _atoms(spark, d)
-    pairs = J.within_distance(atoms, atoms, ["x", "y", "z"], 2.0, ["event_id"], ["event_id"], ["event_type"])
-    return rounded(pairs.filter("a_event_id < b_event_id"), "distance")
+    return rounded(J.neighbours(atoms, ["x", "y", "z"], 2.0, ["event_id"], ["event_type"]), "distance")
 
 
 _ATOMS = EVENTS_SQL + ", p AS (SELECT event_type, event_id, x / 24 AS x, y / 10 AS y, user_id::DOUBLE AS z FROM e)"
@@ -265,8 +264,9 @@ SELECT event_type, a_event_id, b_event_id, round(distance, 6) + 0.0 AS distance
 
 def neighbour_count(spark, d):
     atoms = _atoms(spark, d)
-    pairs = J.within_distance(atoms, atoms, ["x", "y", "z"], 2.0, ["event_id"], ["event_id"], ["event_type"])
-    return pairs.filter("a_event_id <> b_event_id").groupBy("event_type", F.col("a_event_id").alias("event_id")).agg(F.count(F.lit(1)).alias("neighbours"))
+    pairs = J.neighbours(atoms, ["x", "y", "z"], 2.0, ["event_id"], ["event_type"])
+    both = pairs.select("event_type", F.explode(F.array("a_event_id", "b_event_id")).alias("event_id"))
+    return both.groupBy("event_type", "event_id").agg(F.count(F.lit(1)).alias("neighbours"))
 
 
 SQL["neighbour_count"] = (
