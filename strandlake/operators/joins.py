@@ -7,6 +7,7 @@ all pairs.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 from itertools import product
 
 import numpy as np
@@ -166,34 +167,40 @@ MOST_MEDOIDS = 10_000  #: rows of a query set that may be sent to every task
 def nearest(df: DataFrame, medoids: DataFrame, vector: str) -> DataFrame:
     """The nearest medoid of each row (ties: the smallest medoid id): adds medoid, distance.
 
-    medoids: columns medoid and ``vector``; a stated query set, whose size is checked. Each row
-    is compared with all of it, block by block, in the task that holds the row; nothing
-    is shuffled. Rows with a null vector get nulls.
+    medoids: columns medoid and ``vector``, a stated query set. Each row is compared with ``MOST_MEDOIDS`` of them at a time,
+    in the task that holds the row, and keeps the nearest so far from pass to pass; nothing is shuffled. Rows with a null vector get nulls.
     """
-    rows = medoids.filter(F.col(vector).isNotNull()).select("medoid", vector).limit(MOST_MEDOIDS + 1).collect()
-    if len(rows) > MOST_MEDOIDS:
-        raise ValueError(f"more than {MOST_MEDOIDS} medoids: assign them in blocks")
-    rows.sort(key=lambda r: r["medoid"])
-    ids = np.array([r["medoid"] for r in rows], dtype=np.int64)
-    centres = np.array([r[vector] for r in rows], dtype=np.float64)
-
-    def assign(batches):
-        for batch in batches:
-            vectors = batch.column(vector)
-            known = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
-            medoid, distance = np.full(batch.num_rows, -1, dtype=np.int64), np.full(batch.num_rows, np.nan)
-            for a in range(0, len(known) if len(ids) else 0, 1024):
-                at = known[a : a + 1024]
-                x = np.array(vectors.take(pa.array(at)).to_pylist(), dtype=np.float64)
-                best = (centres**2).sum(axis=1)[None, :] - 2 * x @ centres.T
-                which = best.argmin(axis=1)
-                medoid[at], distance[at] = ids[which], np.sqrt(((x - centres[which]) ** 2).sum(axis=1))
-            none = medoid < 0
-            out = [pa.array(medoid, mask=none), pa.array(distance, mask=none)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*batch.schema.names, "medoid", "distance"])
-
+    known = medoids.filter(F.col(vector).isNotNull()).select("medoid", vector)
+    passes = max(1, -(-known.count() * 5 // (4 * MOST_MEDOIDS)))  # blocks by hash, with a fifth to spare
     schema = T.StructType([*df.schema.fields, T.StructField("medoid", T.LongType()), T.StructField("distance", T.DoubleType())])
-    return df.mapInArrow(assign, schema)
+    out = df.withColumns({"medoid": F.lit(None).cast("long"), "distance": F.lit(None).cast("double")})
+    for block in range(passes):
+        rows = known.filter(F.pmod(F.xxhash64("medoid"), F.lit(passes)) == block).collect()
+        rows.sort(key=lambda r: r["medoid"])
+        ids, centres = np.array([r["medoid"] for r in rows], dtype=np.int64), np.array([r[vector] for r in rows], dtype=np.float64)
+        if len(ids):
+            out = out.mapInArrow(partial(_nearer, vector=vector, ids=ids, centres=centres), schema)
+    return out
+
+
+def _nearer(batches, vector: str, ids: np.ndarray, centres: np.ndarray):
+    """Each row's nearest medoid of these, unless one known before is nearer, or as near and of a smaller id."""
+    square = (centres**2).sum(axis=1)[None, :]
+    for batch in batches:
+        vectors = batch.column(vector)
+        known = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
+        medoid = batch.column("medoid").fill_null(-1).to_numpy().copy()
+        distance = batch.column("distance").fill_null(np.inf).to_numpy().copy()
+        none = ~vectors.is_valid().to_numpy(zero_copy_only=False)
+        for a in range(0, len(known), 1024):
+            at = known[a : a + 1024]
+            x = np.array(vectors.take(pa.array(at)).to_pylist(), dtype=np.float64)
+            which = (square - 2 * x @ centres.T).argmin(axis=1)
+            d, i = np.sqrt(((x - centres[which]) ** 2).sum(axis=1)), ids[which]
+            nearer = (d < distance[at]) | ((d == distance[at]) & (i < medoid[at]))
+            medoid[at[nearer]], distance[at[nearer]] = i[nearer], d[nearer]
+        own = {"medoid": pa.array(medoid, mask=none), "distance": pa.array(distance, mask=none)}
+        yield pa.RecordBatch.from_arrays([own.get(n, c) for n, c in zip(batch.schema.names, batch.columns)], batch.schema.names)
 
 
 def silhouettes(df: DataFrame, id_col: str, vector: str, label: str, queries: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """State models of trajectories: frames to features, reduced coordinates, states, counts, probabilities, free energies.
 
 Counting, normalising and every sum over frames run on Spark. What comes to the driver
-is a matrix over features or states, whose size is checked (``MOST_DIMENSIONS``,
-``MOST_STATES``).
+is a square matrix over at most ``SQUARE`` features, beyond that a narrow one of all features by the few components sought. Tasks
+hold matrices over the states of one block, whose number is checked (``MOST_STATES``).
 """
 
 from __future__ import annotations
@@ -18,9 +18,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from strandlake.operators.sequence import lagged_pairs
+from strandlake.session import written
 
 Names = Sequence[str]
-MOST_DIMENSIONS = 5_000
+SQUARE = 2_000  #: features up to which the covariance is formed; beyond, its leading part is found without
+MOST_PLACES = 1_000_000  #: features that :func:`dense` numbers
 MOST_STATES = 5_000
 CANDIDATES = 256  #: members of a cluster whose distances to all others are added up in one pass
 
@@ -116,44 +118,64 @@ def chapman_kolmogorov(p1: DataFrame, pn: DataFrame, n: int) -> DataFrame:
     return both.agg((F.sqrt(F.sum(d * d)) / size).alias("rms"), F.max(F.abs(d)).alias("largest"))
 
 
-def components(edges: DataFrame, states: DataFrame, rounds: int = 64) -> DataFrame:
-    """Strongly connected components: state, component (the smallest member).
+def _propagated(labels: DataFrame, links: DataFrame, greatest: bool, what: str) -> DataFrame:
+    """state, label: each state's label spread along the links (source, target) until nothing changes, the greatest (or least) winning."""
+    pick = F.max if greatest else F.min
+    while True:
+        new = labels.withColumnRenamed("state", "source").join(links, "source").select(F.col("target").alias("state"), "label")
+        spread = labels.select("state", "label", F.col("label").alias("_own")).unionByName(new.withColumn("_own", F.lit(None).cast(labels.schema["label"].dataType)))
+        both = written(spread.groupBy("state").agg(pick("label").alias("label"), pick("_own").alias("_was")), what)
+        labels = both.select("state", "label")
+        if both.filter("label <> _was").isEmpty():
+            return labels
+
+
+def weak_components(edges: DataFrame, states: DataFrame) -> DataFrame:
+    """Connected components whatever the direction of the edges (i, j): state, component (the smallest member). Edges of other states are left out."""
+    states = states.select("state").filter("state IS NOT NULL").distinct()
+    links = edges.select(F.col("i").alias("source"), F.col("j").alias("target")).filter("source <> target").distinct()
+    links = written(links.join(states.withColumnRenamed("state", "source"), "source", "left_semi").join(states.withColumnRenamed("state", "target"), "target", "left_semi"), "links")
+    both = links.unionByName(links.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    return _propagated(states.select("state", F.col("state").alias("label")), both, False, "weak").withColumnRenamed("label", "component")
+
+
+def components(edges: DataFrame, states: DataFrame) -> DataFrame:
+    """Strongly connected components: state, component (the smallest member). Edges (i, j) of other states are left out.
 
-    Two states are together when each reaches the other. Reachability is closed by
-    squaring, a join each round, so it is for graphs over states (``MOST_STATES`` is checked), not over rows.
+    Two states are together when each reaches the other. In each round the greatest state that reaches a state colours it; those of a
+    colour that reach back to the state it comes from are one component and leave. Labels spread by joins and live in
+    written tables; no edge or state comes to the driver.
     """
-    n = states.select("state").distinct().limit(MOST_STATES + 1).count()
-    if n > MOST_STATES:
-        raise ValueError(f"more than {MOST_STATES} states")
-    pairs = edges.select("i", "j").distinct().collect()  # at most MOST_STATES squared, in practice sparse
-    names = sorted({r["state"] for r in states.select("state").distinct().collect()} | {r["i"] for r in pairs} | {r["j"] for r in pairs})
-    at = {s: k for k, s in enumerate(names)}
-    reach = np.eye(len(names), dtype=bool)
-    for r in pairs:
-        reach[at[r["i"]], at[r["j"]]] = True
-    for _ in range(rounds):
-        wider = (reach.astype(np.float32) @ reach.astype(np.float32)) > 0
-        if (wider == reach).all():
-            break
-        reach = wider
-    together = reach & reach.T
-    spark = edges.sparkSession
-    kind = states.schema["state"].dataType
-    schema = T.StructType([T.StructField("state", kind), T.StructField("component", kind)])
-    return spark.createDataFrame([(s, names[int(np.flatnonzero(together[k])[0])]) for k, s in enumerate(names)], schema)
+    left = states.select("state").filter("state IS NOT NULL").distinct()
+    links = edges.select(F.col("i").alias("source"), F.col("j").alias("target")).filter("source <> target").distinct()
+    done: DataFrame | None = None
+    while True:
+        inside = left.select(F.col("state").alias("source"))
+        links = written(links.join(inside, "source", "left_semi").join(inside.withColumnRenamed("source", "target"), "target", "left_semi"), "links")
+        colours = _propagated(left.select("state", F.col("state").alias("label")), links, True, "colours")
+        of = lambda end: colours.select(F.col("state").alias(end), F.col("label").alias(f"_{end}"))
+        back = links.join(of("source"), "source").join(of("target"), "target").filter("_source = _target").select(F.col("target").alias("source"), F.col("source").alias("target"))
+        reached = F.when(F.col("state") == F.col("label"), 1).otherwise(0)
+        members = _propagated(colours.select("state", reached.alias("label")), written(back, "back"), True, "members").filter("label = 1").select("state")
+        found = members.join(colours, "state")
+        found = written(found.join(found.groupBy("label").agg(F.min("state").alias("component")), "label").select("state", "component"), "components")
+        done = found if done is None else done.unionByName(found)
+        left = written(left.join(found, "state", "left_anti"), "left")
+        if left.isEmpty():
+            return done
 
 
 def dense(df: DataFrame, by: Names, feature: Names, value: str, out: str = "v") -> DataFrame:
     """by, ``out``: one array for each value of ``by``, with a place for each combination of ``feature`` that occurs, in order; 0 where it has no row.
 
-    df: by, feature, value, each combination once. The number of places is checked (``MOST_DIMENSIONS``).
+    df: by, feature, value, each combination once. The number of places is checked (``MOST_PLACES``).
     """
-    places = df.select(*feature).distinct().limit(MOST_DIMENSIONS + 1).collect()
-    if len(places) > MOST_DIMENSIONS:
-        raise ValueError(f"more than {MOST_DIMENSIONS} dimensions")
+    places = df.select(*feature).distinct().limit(MOST_PLACES + 1).collect()
+    if len(places) > MOST_PLACES:
+        raise ValueError(f"more than {MOST_PLACES} features")
     schema = T.StructType([*(df.schema[c] for c in feature), T.StructField("_at", T.IntegerType())])
     at = df.sparkSession.createDataFrame([(*p, k) for k, p in enumerate(sorted(map(tuple, places)))], schema)
-    rows = df.join(F.broadcast(at), list(feature)).groupBy(*by).agg(F.collect_list("_at").alias("_at"), F.collect_list(F.col(value).cast("double")).alias("_v"))
+    rows = df.join(at, list(feature)).groupBy(*by).agg(F.collect_list("_at").alias("_at"), F.collect_list(F.col(value).cast("double")).alias("_v"))
 
     def spread(batches):
         for batch in batches:
@@ -179,8 +201,6 @@ def gram(df: DataFrame, vector: str, pair: str | None = None) -> tuple[int, np.n
     if first is None:
         raise ValueError("no rows")
     d = len(first["a"])
-    if d > MOST_DIMENSIONS:
-        raise ValueError(f"more than {MOST_DIMENSIONS} dimensions")
 
     def sums(batches):
         n, sa, sb, g = 0, np.zeros(d), np.zeros(d), np.zeros((d, d))
@@ -210,32 +230,110 @@ def fixed_sign(vectors: np.ndarray) -> np.ndarray:
     return vectors * np.where(vectors[top, np.arange(vectors.shape[1])] < 0, -1.0, 1.0)
 
 
+def _summed(rows: DataFrame, step, schema: str = "row int, v array<double>") -> np.ndarray:
+    """The matrix whose rows the tasks yield by number, added up on Spark; only the sum reaches the driver."""
+
+    def added(t: pa.Table) -> pa.Table:
+        v = np.sum([np.asarray(x.values) for x in t.column("v")], axis=0)
+        return pa.table({"row": t.column("row").slice(0, 1), "v": pa.array([v], pa.list_(pa.float64()))})
+
+    found = rows.mapInArrow(step, schema).groupBy("row").applyInArrow(added, schema).toArrow().sort_by("row")
+    return np.stack([np.asarray(x.values) for x in found.column("v")])
+
+
+def _matrix(batch: pa.RecordBatch, d: int) -> np.ndarray:
+    return np.asarray(batch.column("v").flatten(), dtype=np.float64).reshape(-1, d)
+
+
+def leading_components(df: DataFrame, vector: str, keep: int = 0, variance: float = 0.0, settled: float = 1e-9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """mean, variances (descending) and components (columns): the ``keep`` leading ones, or the fewest that hold ``variance``.
+
+    For any number of features: the covariance is never formed. A narrow orthonormal basis is multiplied by it, a pass over the
+    rows each time, until the variances in it no longer change by more than the part ``settled``; it is widened until it holds
+    what is asked for. A task holds a matrix of all features by the basis's width. Rows with a null are left out.
+    """
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(vector).alias("v"))
+    one = rows.first()
+    if one is None:
+        raise ValueError("no rows")
+    d = len(one["v"])
+
+    def moments(batches):
+        n, s, q = 0, np.zeros(d), 0.0
+        for batch in batches:
+            x = _matrix(batch, d)
+            n, s, q = n + len(x), s + x.sum(axis=0), q + float((x * x).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.concatenate([[n, q], s])], pa.list_(pa.float64()))], ["row", "v"])
+
+    n, square, *total = _summed(rows, moments)[0]
+    mean = np.array(total) / n
+    whole = square / n - float(mean @ mean)
+
+    def times(basis: np.ndarray):
+        def step(batches):
+            out = np.zeros(basis.shape)
+            for batch in batches:
+                x = _matrix(batch, d) - mean
+                out += x.T @ (x @ basis)
+            yield pa.RecordBatch.from_arrays([pa.array(range(basis.shape[1]), pa.int32()), pa.array([*out.T], pa.list_(pa.float64()))], ["row", "v"])
+
+        return step
+
+    most = int(min(n, d))
+    width, random = min(most, (keep or 40) + 16), np.random.default_rng(0)
+    basis, before = np.linalg.qr(random.normal(size=(d, width)))[0], None
+    while True:
+        image = _summed(rows, times(basis)).T / n  # covariance times the basis
+        small = basis.T @ image
+        values, rotation = np.linalg.eigh((small + small.T) / 2)
+        values, rotation = np.maximum(values[::-1], 0.0), rotation[:, ::-1]
+        held = np.cumsum(values) / whole if whole > 0 else np.ones(width)
+        wanted = min(keep, width) if keep else min(int(np.searchsorted(held, variance) + 1), width)
+        short = not keep and held[-1] < variance and width < most
+        if before is not None and len(before) >= wanted and not short and np.abs(values[:wanted] - before[:wanted]).max() <= settled * values[0]:
+            return mean, values[:wanted], fixed_sign((basis @ rotation)[:, :wanted])
+        if width == most and before is not None and most == d:
+            return mean, values[:wanted], fixed_sign((basis @ rotation)[:, :wanted])
+        before = values
+        if short:
+            width = min(most, 2 * width)
+            image = np.hstack([image, random.normal(size=(d, width - image.shape[1])) * np.abs(image).max()])
+            before = None
+        basis = np.linalg.qr(image)[0]
+
+
 def principal_components(df: DataFrame, vector: str, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """mean, variances (descending) and components (columns) of the covariance."""
+    return _components(df, vector, keep=keep)
+
+
+def _components(df: DataFrame, vector: str, keep: int = 0, variance: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    one = df.filter(F.col(vector).isNotNull()).select(vector).first()
+    if one is None:
+        raise ValueError("no rows")
+    if len(one[0]) > SQUARE:
+        return leading_components(df, vector, keep, variance)
     n, s, _, g = gram(df, vector)
     mean = s / n
     values, vectors = np.linalg.eigh(g / n - np.outer(mean, mean))
-    order = np.argsort(values)[::-1][:keep]
-    return mean, values[order], fixed_sign(vectors[:, order])
+    values, vectors = values[::-1], vectors[:, ::-1]
+    k = keep or int(np.searchsorted(np.cumsum(values) / values.sum(), variance) + 1)
+    return mean, values[:k], fixed_sign(vectors[:, :k])
 
 
 def time_lagged_components(df: DataFrame, block: Names, order: Names, vector: str, lag: int, keep: int, variance: float = 0.95) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """TICA: mean, eigenvalues (descending) and projection (columns) of the whitened, symmetrised lagged covariance.
 
-    Whitening keeps the fewest principal components that hold ``variance``. The lagged
-    products never cross a block.
+    Whitening keeps the fewest principal components that hold ``variance``; only the coordinates along these are
+    shuffled to meet their lagged ones, which never cross a block.
     """
-    n, s, _, g = gram(df, vector)
-    mean = s / n
-    values, vectors = np.linalg.eigh(g / n - np.outer(mean, mean))
-    values, vectors = values[::-1], vectors[:, ::-1]
-    k = int(np.searchsorted(np.cumsum(values) / values.sum(), variance) + 1)
-    white = vectors[:, :k] / np.sqrt(values[:k])
+    mean, values, vectors = _components(df, vector, variance=variance)
+    white = vectors / np.sqrt(values)
     w = Window.partitionBy(*block).orderBy(*order)
-    pairs = df.select(F.col(vector).alias("_x"), F.lead(vector, lag).over(w).alias("_y"))
+    slim = projected(df.select(*block, *order, F.col(vector).alias("_x")), "_x", mean, white, "_z").drop("_x")
+    pairs = slim.select(F.col("_z").alias("_x"), F.lead("_z", lag).over(w).alias("_y"))
     m, sa, sb, c = gram(pairs, "_x", "_y")
-    lagged = c / m - np.outer(mean, sb / m) - np.outer(sa / m, mean) + np.outer(mean, mean)
-    small = white.T @ lagged @ white
+    small = c / m  # the mean of all rows is 0 in these coordinates
     eigen, rotation = np.linalg.eigh((small + small.T) / 2)
     top = np.argsort(eigen)[::-1][:keep]
     return mean, eigen[top], fixed_sign(white @ rotation[:, top])
