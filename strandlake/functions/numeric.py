@@ -115,7 +115,10 @@ def _gamma(x: np.ndarray) -> np.ndarray:
 def _off_log(t: np.ndarray, ratio: np.ndarray | None = None) -> np.ndarray:
     """t - ln(1 + t), without cancelling near 0; ``ratio`` is 1 + t where that is known better."""
     near = np.where(np.abs(t) < 0.1, t, 0.0)
-    series = sum((-1) ** k * near**k / k for k in range(2, 20))
+    series = np.zeros_like(near)
+    for k in range(19, 1, -1):
+        series = near * series + (-1) ** k / k
+    series = series * near * near
     return np.where(np.abs(t) < 0.1, series, t - (np.log1p(np.maximum(t, -1.0)) if ratio is None else np.log(ratio)))
 
 
@@ -141,7 +144,7 @@ def _fraction(a: Callable[[int], np.ndarray], b: Callable[[int], np.ndarray]) ->
         c = b(n) + a(n) / c
         d, c = 1 / np.where(d == 0, tiny, d), np.where(c == 0, tiny, c)
         f = np.where(open_, f * c * d, f)
-        open_ = open_ & (np.abs(c * d - 1) > 1e-15)
+        open_ = open_ & (np.abs(c * d - 1) > 4e-15)
         if not open_.any():
             return f
     return np.where(open_, np.nan, f)
@@ -162,11 +165,21 @@ def _series(ratio: Callable[[int], np.ndarray], x: np.ndarray, most: int = MOST_
 BROAD = 10_000.0  #: shape parameters from which a tail is an integral over the density instead of a series
 
 
+def _broad_tail(a: np.ndarray, t0: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Integral of the gamma density away from its mean, over t = x / a - 1 from t0, as a part of its value there.
+
+    It ends where the exponent a * off_log(t) is 60 above that at t0: near the mean a parabola, further out nearly a line.
+    """
+    reach = np.minimum(np.sqrt(t0 * t0 + 2 * 60 / a) + 60 / a - np.abs(t0), 60 / a / np.maximum(np.abs(t0), 1e-300) * (1 + np.abs(t0)))
+    end = np.maximum(t0 + side * reach, -1 + 1e-12)
+    base = _off_log(t0)
+    return np.abs(_integral(lambda t: np.exp(-a[:, None] * (_off_log(t) - base[:, None])) / (1 + t), t0, end, 4))
+
+
 def _gamma_tails(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper regularised incomplete gamma function, each to its own precision; NaN outside a > 0.
 
-    A series below a + 1, a continued fraction above; for large a the integral of the density over the 40 units
-    of its exponent next to x.
+    A series below a + 1, a continued fraction above; for large a the integral of the density next to x.
     """
     at = np.clip(x, 1e-300, 1e300)
     scale = np.sqrt(a / (2 * math.pi)) * np.exp(-_stirling_rest(a))
@@ -177,17 +190,10 @@ def _gamma_tails(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s = np.where(above, a, 1.0)
     fraction = _fraction(lambda n: n * (s - n), lambda n: np.where(above, at, 2.0) + 2 * n + 1 - s)
     lower, upper = front * total / a, front / fraction
-    wide = np.where(broad, a, BROAD)
-    centre = np.where(broad, at, BROAD)
-    # The exponent a * off_log(t) at the end is 40 above that at x: for t near 0 a parabola, further out nearly a line.
-    t0 = (centre - wide) / wide
-    side = np.where(t0 > 0, 1.0, -1.0)
-    reach = np.minimum(np.sqrt(t0 * t0 + 2 * 60 / wide) + 60 / wide - np.abs(t0), 60 / wide / np.maximum(np.abs(t0), 1e-300) * (1 + np.abs(t0)))
-    end = np.maximum(t0 + side * reach, -1 + 1e-12)
-    base = _off_log(t0)
-    density = lambda t: np.exp(-wide[:, None] * (_off_log(t) - base[:, None])) / (1 + t)
-    tail = front * np.abs(_integral(density, t0, end, 4))
-    lower, upper = np.where(broad & (side < 0), tail, lower), np.where(broad & (side > 0), tail, upper)
+    side = np.where(at > a, 1.0, -1.0)
+    if broad.any():
+        tail = front[broad] * _broad_tail(a[broad], (at[broad] - a[broad]) / a[broad], side[broad])
+        lower[broad], upper[broad] = tail, tail  # the one on the side of x; the other is told from it
     from_below = np.where(broad, side < 0, low)
     lower, upper = np.where(from_below, lower, 1 - upper), np.where(from_below, 1 - lower, upper)
     lower, upper = np.where(x <= 0, 0.0, np.where(x == np.inf, 1.0, lower)), np.where(x <= 0, 1.0, np.where(x == np.inf, 0.0, upper))

@@ -52,13 +52,23 @@ def reversible(counts: DataFrame, by: Names = ()) -> DataFrame:
 
 
 def row_normalised(counts: DataFrame, by: Names = ()) -> DataFrame:
-    """p = c / its row's sum. Rows without counts have no entries; see :func:`empty_rows`."""
+    """p = c / its row's sum. Rows without counts have no entries; see :func:`completed`."""
     return counts.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy(*by, "i")))
 
 
-def empty_rows(counts: DataFrame, states: DataFrame) -> DataFrame:
-    """States (column state) with no outgoing count; a dense matrix gives them 1/n everywhere or 0."""
-    return states.select("state").distinct().join(counts.select(F.col("i").alias("state")), "state", "left_anti")
+def completed(counts: DataFrame, states: DataFrame, by: Names = ()) -> DataFrame:
+    """Counts in which every row has entries: one of each state (column state) that has no outgoing count gets 1 in every place.
+
+    With :func:`row_normalised` such a row is uniform. The states are a fixed set of at most ``MOST_STATES``, checked.
+    """
+    names = states.select("state").filter("state IS NOT NULL").distinct()
+    if names.count() > MOST_STATES:
+        raise ValueError(f"more than {MOST_STATES} states")
+    every = names.agg(F.collect_set("state").alias("_all"))
+    groups = counts.select(*by).distinct() if by else counts.sparkSession.range(1).select()
+    rows = groups.crossJoin(F.broadcast(every)).withColumn("i", F.explode("_all"))  # one row of states of checked number
+    empty = rows.join(counts.select(*by, "i").distinct(), [*by, "i"], "left_anti")
+    return counts.select(*by, "i", "j", "c").unionByName(empty.select(*by, "i", F.explode("_all").alias("j"), F.lit(1).cast("long").alias("c")))
 
 
 def stationary(reversible_counts: DataFrame) -> DataFrame:

@@ -142,6 +142,20 @@ def akima_curve(spark, d):
     return rounded(G.akima(events(spark, d), USER, BY_TIME, "x", "y", 4), "x", "y", digits=4)
 
 
+# Slopes at the points from two spans on either side, those beyond the ends carried on in a straight line; then the cubic of each span.
+SQL["akima_curve"] = (
+    EVENTS_SQL
+    + """, m AS (SELECT user_id, pos, n, x, y, (lead(y) OVER w - y) / (lead(x) OVER w - x) AS m FROM e WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
+q AS (SELECT user_id, array_agg(m ORDER BY pos) FILTER (m IS NOT NULL) AS v FROM m WHERE n >= 3 GROUP BY 1),
+v AS (SELECT user_id, list_concat([3 * v[1] - 2 * v[2], 2 * v[1] - v[2]], v, [2 * v[-1] - v[-2], 3 * v[-1] - 2 * v[-2]]) AS v FROM q),
+k AS (SELECT m.*, v[pos + 1] AS p2, v[pos + 2] AS p1, v[pos + 3] AS q1, v[pos + 4] AS q2 FROM m JOIN v USING (user_id)),
+t AS (SELECT user_id, pos, x, y, CASE WHEN abs(q2 - q1) + abs(p1 - p2) > 0 THEN (abs(q2 - q1) * p1 + abs(p1 - p2) * q1) / (abs(q2 - q1) + abs(p1 - p2)) ELSE (p1 + q1) / 2 END AS t FROM k),
+s AS (SELECT user_id, x, y, t, lead(x) OVER w - x AS h, lead(y) OVER w AS y1, lead(t) OVER w AS t1 FROM t WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
+c AS (SELECT *, y AS a0, t * h AS a1, 3 * (y1 - y) - (2 * t + t1) * h AS a2, 2 * (y - y1) + (t + t1) * h AS a3, unnest([0, 0.25, 0.5, 0.75])::DOUBLE AS u FROM s WHERE h > 0)
+SELECT user_id, round(x + u * h, 4) + 0.0 AS x, round(a0 + u * (a1 + u * (a2 + u * a3)), 4) + 0.0 AS y FROM c"""
+)
+
+
 def prune_points(spark, d):
     return G.pruned(events(spark, d), ["event_type"], BY_TIME, "x", "y", 12.0, 25.0).select("event_type", "event_id")
 

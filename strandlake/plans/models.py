@@ -196,6 +196,41 @@ def connected_states(spark, d):
     return K.components(counts, counts.select(F.col("i").alias("state")))
 
 
+def weak_states(spark, d):
+    """States joined by transitions of either direction."""
+    counts = transition_counts(spark, d)
+    return K.weak_components(counts, counts.select(F.col("i").alias("state")))
+
+
+_REACH = f"""
+WITH RECURSIVE {_COUNTS.strip().removeprefix("WITH")},
+s AS (SELECT DISTINCT i AS state FROM c),
+e AS (SELECT i, j FROM c WHERE j IN (SELECT state FROM s)),
+r AS (SELECT i, j FROM %s UNION SELECT r.i, x.j FROM r JOIN %s x ON r.j = x.i)"""
+SQL["connected_states"] = _REACH % ("e", "e") + "SELECT s.state, least(s.state, coalesce(min(a.j), s.state)) AS component FROM s LEFT JOIN (SELECT a.i, a.j FROM r a JOIN r b ON a.i = b.j AND a.j = b.i) a ON a.i = s.state GROUP BY 1"
+_EITHER = "(SELECT i, j FROM e UNION SELECT j, i FROM e)"
+SQL["weak_states"] = _REACH % (_EITHER, _EITHER) + "SELECT s.state, least(s.state, coalesce(min(r.j), s.state)) AS component FROM s LEFT JOIN r ON r.i = s.state GROUP BY 1"
+
+
+def uniform_rows(spark, d):
+    """Probabilities within each run over the states any run visits; a state without counts in a run goes anywhere alike."""
+    counts = counts_by_run(spark, d)
+    p = K.row_normalised(K.completed(counts, trajectories(spark, d).select("state"), ["run_id"]), ["run_id"])
+    return rounded(p.select("run_id", "i", "j", "p"), "p")
+
+
+SQL["uniform_rows"] = (
+    STATES_SQL
+    + """, l AS (SELECT run_id, state AS i, lead(state) OVER (PARTITION BY run_id, replica_index ORDER BY cycle_no) AS j FROM t),
+c AS (SELECT run_id, i, j, count(*) AS c FROM l WHERE j IS NOT NULL GROUP BY 1, 2, 3),
+s AS (SELECT DISTINCT state FROM t),
+g AS (SELECT run_id, a.state AS i, b.state AS j FROM (SELECT DISTINCT run_id FROM c), s a, s b),
+z AS (SELECT run_id, i FROM c GROUP BY 1, 2),
+u AS (SELECT g.run_id, g.i, g.j, 1 AS c FROM g ANTI JOIN z ON g.run_id = z.run_id AND g.i = z.i UNION ALL SELECT * FROM c)
+SELECT run_id, i, j, round(c / sum(c) OVER (PARTITION BY run_id, i), 6) + 0.0 AS p FROM u"""
+)
+
+
 def validity_checks(spark, d):
     """Largest departures from row sums of 1 and from detailed balance."""
     c = K.reversible(transition_counts(spark, d))
@@ -208,7 +243,13 @@ def validity_checks(spark, d):
     return rounded(rows.select(F.lit("row_sum").alias("check"), F.col("row_sum").alias("largest")).union(balance.select(F.lit("balance"), "balance")), "largest", digits=9)
 
 
-SQL["validity_checks"] = "SELECT 'row_sum' AS \"check\", 0.0::DOUBLE AS largest UNION ALL SELECT 'balance', 0.0::DOUBLE"
+SQL["validity_checks"] = (
+    _PI
+    + """, p AS (SELECT i, j, c / sum(c) OVER (PARTITION BY i) AS p FROM r),
+f AS (SELECT i, j, pi * p AS f FROM p JOIN pi ON pi.state = p.i)
+SELECT 'row_sum' AS "check", (SELECT round(max(abs(e)), 9) + 0.0 FROM (SELECT sum(p) - 1 AS e FROM p GROUP BY i)) AS largest
+UNION ALL SELECT 'balance', (SELECT round(max(abs(a.f - b.f)), 9) + 0.0 FROM f a JOIN f b ON a.i = b.j AND a.j = b.i)"""
+)
 
 
 def embedding_components(spark, d):
@@ -282,6 +323,6 @@ def local_chains_forward(spark, d):
 
 for _f in (
     medoid_scan, local_chains, local_chains_forward, transition_counts, transition_probs, reversible_probs, stationary_states, lag_scan_counts, counts_by_run, matrix_statistics, state_populations, top_states, entropy_efficiency,
-    mass_cutoff, delta_g_by_run, weighted_fes_grid, implied_timescales, timescale_scan, chapman_kolmogorov, connected_states, validity_checks, embedding_components, lagged_components, embedding_medoids,
+    mass_cutoff, delta_g_by_run, weighted_fes_grid, implied_timescales, timescale_scan, chapman_kolmogorov, connected_states, weak_states, uniform_rows, validity_checks, embedding_components, lagged_components, embedding_medoids,
 ):
     QUERIES[_f.__name__] = _f

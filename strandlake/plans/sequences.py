@@ -192,5 +192,16 @@ def path_dihedrals(spark, d):
     return rounded(S.dihedrals(df, USER, BY_TIME, ("x", "y", "z")), "sin", "cos", "degrees", digits=4)
 
 
+# By the angle between the planes of three points, its sign from the triple product of the bonds.
+SQL["path_dihedrals"] = (
+    EVENTS_SQL
+    + """, p AS (SELECT user_id, pos, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy, fmod(lead(x) OVER w, 24) - fmod(x, 24) AS dz FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT user_id, pos, dx AS ux, dy AS uy, dz AS uz, lead(dx) OVER w AS vx, lead(dy) OVER w AS vy, lead(dz) OVER w AS vz, lead(dx, 2) OVER w AS wx, lead(dy, 2) OVER w AS wy, lead(dz, 2) OVER w AS wz
+  FROM p WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
+n AS (SELECT user_id, pos, sqrt(vx * vx + vy * vy + vz * vz) * (ux * (vy * wz - vz * wy) + uy * (vz * wx - vx * wz) + uz * (vx * wy - vy * wx)) AS s,
+  (uy * vz - uz * vy) * (vy * wz - vz * wy) + (uz * vx - ux * vz) * (vz * wx - vx * wz) + (ux * vy - uy * vx) * (vx * wy - vy * wx) AS c FROM b WHERE wx IS NOT NULL)
+SELECT user_id, pos, round(s / sqrt(s * s + c * c), 4) + 0.0 AS sin, round(c / sqrt(s * s + c * c), 4) + 0.0 AS cos, round(degrees(atan2(s, c)), 4) + 0.0 AS degrees FROM n"""
+)
+
 for _f in (running_sum, cumulative_integral, difference_seasonal, reverse_set, sort_set, slice_set, drop_range, sample_step, resize_set, digital_filter, linear_convolution, data_windows, change_points, path_dihedrals):
     QUERIES[_f.__name__] = _f
