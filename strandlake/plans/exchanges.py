@@ -9,6 +9,7 @@ from strandlake.operators.messages import one_copy
 from strandlake.plans.common import STATES_SQL, rounded, trajectories
 from strandlake.session import shared_path, table
 from strandlake.sources import runs as R
+from strandlake.sources.text import key_of, write_files
 
 QUERIES, SQL = {}, {}
 
@@ -162,8 +163,8 @@ def log_parse(spark, d):
 def log_files(spark, d):
     """The same by way of files, one log for each run, read in blocks."""
     path = shared_path(spark, "logs")
-    R.write_logs(_logged(spark, d), path)
-    found = R.read_log(spark, path).withColumn("run_id", F.regexp_extract("file", "run_id=([^/]+)/", 1))
+    write_files(_logged(spark, d), "run_id", path)
+    found = R.read_log(spark, path).withColumn("run_id", key_of("run_id"))
     return rounded(found.drop("file", "energy_i", "energy_j"), "delta_energy", "probability", digits=7)
 
 

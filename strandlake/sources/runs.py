@@ -46,11 +46,6 @@ def read_log_reports(spark: SparkSession, path: str) -> DataFrame:
     return parsed_reports(lines(spark, path), ["file"], "line", F.floor(F.col("line") / STRETCH))
 
 
-def write_logs(rows: DataFrame, path: str) -> None:
-    """Write lines (run_id, line, text) as one file for each run, below ``run_id=...``, in order."""
-    rows.repartition("run_id").sortWithinPartitions("run_id", "line").select("run_id", "text").write.partitionBy("run_id").text(path)
-
-
 def read_energies(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
     """file, line, name, value: lines of an energy tool that name one of ``terms`` and carry a number as second word."""
     rows = lines(spark, path).withColumn("_w", F.split(F.trim("text"), r"\s+"))
@@ -65,3 +60,13 @@ def scaled_contacts(rows: DataFrame, lam: float, native: float) -> DataFrame:
     data = ~F.ltrim("text").startswith(";") & ~F.ltrim("text").startswith("[") & (F.size(words) >= 5)
     new = F.format_string("%30s %30s %2s %14s %14s %s", *(F.get(words, k) for k in range(4)), F.format_string("%.8f", F.lit(native * lam)), note)
     return rows.withColumn("text", F.when(data, new).otherwise(F.col("text")))
+
+
+def checkpoint_lines(states: DataFrame) -> DataFrame:
+    """Saved states, with columns as in ``hremc_checkpoint``, as one JSON text for each file: file_name, line, text."""
+    replica = F.transform("replica_states", lambda s: F.struct(s["replica_index"].alias("index"), s["state_index"].alias("state_index"), s["lam"].alias("lam"), s["potential_energy"].alias("potential_energy")))
+    body = F.struct(
+        F.col("run_id").alias("system"), F.col("cycle_no").alias("cycle"), "n_replicas", "lambdas", "permutation", F.col("total_attempted").alias("total_exchanges_attempted"),
+        F.col("total_accepted").alias("total_exchanges_accepted"), "pair_attempts", "pair_accepts", replica.alias("replica_states"),
+    )
+    return states.select("file_name", F.lit(0).alias("line"), F.to_json(body).alias("text"))

@@ -39,15 +39,47 @@ def read_pdb(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _gro_text() -> Column:
+    return F.format_string("%5d%-5s%5s%5d%8.3f%8.3f%8.3f", F.col("resid") % 100000, "resname", "name", (F.col("idx") + 1) % 100000, "x", "y", "z")
+
+
 def gro_lines(atoms: DataFrame) -> DataFrame:
     """Fixed-width lines of atoms (idx, resid, resname, name, x, y, z): idx, text. Numbers wrap at 100000."""
-    text = F.format_string("%5d%-5s%5s%5d%8.3f%8.3f%8.3f", F.col("resid") % 100000, "resname", "name", (F.col("idx") + 1) % 100000, "x", "y", "z")
-    return atoms.select("idx", text.alias("text"))
+    return atoms.select("idx", _gro_text().alias("text"))
 
 
-def pdb_lines(atoms: DataFrame) -> DataFrame:
-    """ATOM lines of atoms in nm: idx, text. Numbers wrap at 100000 and 10000."""
-    text = F.format_string(
+def _pdb_text() -> Column:
+    return F.format_string(
         "ATOM  %5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f", (F.col("idx") + 1) % 100000, "name", "resname", "chain", F.col("resid") % 10000, F.col("x") * 10, F.col("y") * 10, F.col("z") * 10, F.lit(1.0), F.lit(0.0)
     )
-    return atoms.select("idx", text.alias("text"))
+
+
+def pdb_lines(atoms: DataFrame) -> DataFrame:
+    """ATOM lines of atoms in nm: idx, text. Numbers wrap at 100000 and 10000."""
+    return atoms.select("idx", _pdb_text().alias("text"))
+
+
+def gro_file_lines(atoms: DataFrame, by: str, title: str, box: tuple[float, ...]) -> DataFrame:
+    """Lines of whole GRO files from ``by`` and the atoms of :func:`gro_lines`: title, number of atoms, atoms, box: ``by``, line, text."""
+    rows = atoms.select(by, (F.col("idx") + 2).cast("long").alias("line"), _gro_text().alias("text"))
+    size = atoms.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    last = " ".join(f"{v:.5f}" for v in box)
+    frame = F.array(*(F.struct(line.cast("long").alias("line"), text.cast("string").alias("text")) for line, text in ((F.lit(0), F.lit(title)), (F.lit(1), F.col("n")), (F.col("n") + 2, F.lit(last)))))
+    return rows.unionByName(size.select(by, F.explode(frame).alias("f")).select(by, "f.line", "f.text"))
+
+
+def pdb_file_lines(atoms: DataFrame, by: str, box: tuple[float, float, float]) -> DataFrame:
+    """Lines of whole PDB files from ``by`` and the atoms of :func:`pdb_lines`: cell, atoms, end: ``by``, line, text."""
+    rows = atoms.select(by, (F.col("idx") + 1).cast("long").alias("line"), _pdb_text().alias("text"))
+    cell = "CRYST1" + "".join(f"{10 * v:9.3f}" for v in box) + "  90.00  90.00  90.00 P 1           1"
+    ends = F.array(F.struct(F.lit(0).cast("long").alias("line"), F.lit(cell).alias("text")), F.struct((F.col("n") + 1).alias("line"), F.lit("END").alias("text")))
+    return rows.unionByName(atoms.groupBy(by).agg(F.count(F.lit(1)).alias("n")).select(by, F.explode(ends).alias("f")).select(by, "f.line", "f.text"))
+
+
+def selected(atoms: DataFrame, names: list[str] | None = None, residues: list[str] | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Atoms of these names, residue names and residue numbers from ``first`` to ``last``; a null doesn't count as any."""
+    for column, wanted in (("name", names), ("resname", residues)):
+        atoms = atoms if wanted is None else atoms.filter(F.col(column).isin(wanted))
+    if first is not None:
+        atoms = atoms.filter(F.col("resid") >= first)
+    return atoms if last is None else atoms.filter(F.col("resid") <= last)

@@ -107,3 +107,48 @@ def sections(spark: SparkSession, path: str) -> DataFrame:
     name = F.nullif(F.trim(F.regexp_extract("_t", r"^\[\s*([^\]]+?)\s*\]$", 1)), F.lit(""))
     rows = rows.withColumn("section", F.last(name, ignorenulls=True).over(w))
     return rows.filter((F.col("_t") != "") & ~F.col("_t").startswith("[") & ~F.col("_t").startswith("#")).select("file", "section", "line", F.split("_t", r"\s+").alias("words"))
+
+
+def write_files(rows: DataFrame, key: str, path: str) -> None:
+    """Write lines (``key``, line, text) as one file for each key, below ``key=...``, in order of ``line``."""
+    rows.repartition(key).sortWithinPartitions(key, "line").select(key, "text").write.partitionBy(key).text(path)
+
+
+def key_of(key: str) -> Column:
+    """The key of a row's ``file`` as :func:`write_files` named it."""
+    return F.regexp_extract("file", f"{key}=([^/]+)/", 1)
+
+
+def read_itp_atoms(spark: SparkSession, path: str) -> DataFrame:
+    """Atoms of topologies: file, molecule, nr, kind, resnr, residue, atom, cgnr, charge, mass (null where it isn't given).
+
+    ``molecule`` is the name that the section ``moleculetype`` before the atoms gives.
+    """
+    rows = sections(spark, path).filter(F.col("section").isin("moleculetype", "atoms"))
+    before = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("molecule", F.last(F.when(F.col("section") == "moleculetype", F.get("words", 0)), ignorenulls=True).over(before)).filter("section = 'atoms'")
+    word = lambda k, kind: F.get("words", k).try_cast(kind)
+    return rows.select(
+        "file", "molecule", word(0, "long").alias("nr"), F.get("words", 1).alias("kind"), word(2, "long").alias("resnr"), F.get("words", 3).alias("residue"), F.get("words", 4).alias("atom"),
+        word(5, "long").alias("cgnr"), word(6, "double").alias("charge"), word(7, "double").alias("mass"),
+    )
+
+
+def read_contact_parameters(spark: SparkSession, path: str) -> DataFrame:
+    """Nonbonded pair parameters of topologies: file, line, kind_i, kind_j, form, sigma, epsilon."""
+    rows = sections(spark, path).filter("section = 'nonbond_params'")
+    return rows.select("file", "line", F.get("words", 0).alias("kind_i"), F.get("words", 1).alias("kind_j"), F.get("words", 2).try_cast("int").alias("form"), *(F.get("words", k).try_cast("double").alias(n) for k, n in ((3, "sigma"), (4, "epsilon"))))
+
+
+def read_molecules(spark: SparkSession, path: str) -> DataFrame:
+    """Molecules of systems, in order: file, line, molecule, count."""
+    rows = sections(spark, path).filter("section = 'molecules'")
+    return rows.select("file", "line", F.get("words", 0).alias("molecule"), F.get("words", 1).try_cast("long").alias("count"))
+
+
+def topology_lines(molecules: DataFrame, by: str, title: str, include: Sequence[str] = ()) -> DataFrame:
+    """Lines of whole topologies from ``by``, pos, molecule, count: ``by``, line, text."""
+    head = [*(f'#include "{name}"' for name in include), "", "[ system ]", title, "", "[ molecules ]"]
+    first = F.posexplode(F.array(*(F.lit(t) for t in head))).alias("line", "text")
+    rows = molecules.select(by, (F.col("pos") + len(head)).cast("int").alias("line"), F.format_string("%-15s %10d", "molecule", "count").alias("text"))
+    return molecules.select(by).distinct().select(by, first).unionByName(rows)

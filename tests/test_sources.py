@@ -93,3 +93,12 @@ def test_live_lines(spark):
     df = spark.createDataFrame([("g0.s1 point 1, 2.5",), ("  g2.s0 point -1e3,4D1 ",), ("redraw",), (None,), ("g0.s1 point x, 1",)], "value string")
     assert [(r.graph, r.set, r.x, r.y) for r in live.points(df).filter("ok").collect()] == [(0, 1, 1.0, 2.5), (2, 0, -1000.0, 40.0)]
     assert live.points(df).filter("NOT ok").count() == 3
+
+
+def test_typed_topologies(spark, tmp_path):
+    itp = '[ moleculetype ]\n; name nrexcl\nPROT 1\n[ atoms ]\n 1 P2 1 GLY BB 1 0.0 72 ; x\n 2 Qd 2 ARG SC1 2 1.0\n[ nonbond_params ]\nP2 Qd 1 0.47 3.5\nbad\n'
+    path = put(tmp_path, "a.itp", itp)
+    rows = text.read_itp_atoms(spark, path).orderBy("nr").collect()
+    assert [(r.molecule, r.nr, r.kind, r.residue, r.atom, r.charge, r.mass) for r in rows] == [("PROT", 1, "P2", "GLY", "BB", 0.0, 72.0), ("PROT", 2, "Qd", "ARG", "SC1", 1.0, None)]
+    assert [(r.kind_i, r.kind_j, r.form, r.sigma, r.epsilon) for r in text.read_contact_parameters(spark, path).orderBy("line").collect()] == [("P2", "Qd", 1, 0.47, 3.5), ("bad", None, None, None, None)]
+    assert text.read_molecules(spark, path).count() == 0
