@@ -76,7 +76,8 @@ def full_year(year: Column, wrap: int = 1950) -> Column:
 def utc_micros(df: DataFrame, column: str) -> Column:
     """Microseconds since 1970 of a time of ``df``; one without a zone means UTC, whatever the session's zone."""
     c = F.col(column)
-    if isinstance(df.schema[column].dataType, TimestampNTZType):
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    if isinstance(df.schema[column].dataType, TimestampNTZType) and zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
         seconds = F.unix_date(F.to_date(c)) * F.lit(86400).cast("long") + F.hour(c) * 3600 + F.minute(c) * 60
         return seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
     return F.unix_micros(c.cast("timestamp"))
