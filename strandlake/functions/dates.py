@@ -59,10 +59,19 @@ def day_of_week(jd: Column) -> Column:
 LAYOUTS = ("yyyy-M-d[ H:m[:s]]", "d.M.yyyy[ H:m[:s]]", "M/d/yyyy[ H:m[:s]]")
 
 
-def parsed_date(text: Column, hint: str | None = None) -> Column:
-    """Julian day of calendar text by ``hint`` first, then ISO, European and American order; null if none fits."""
+SHORT_YEAR = r"^(\d{1,2})([./])(\d{1,2})[./](\d{2})(?=\s|$)(.*)$"
+
+
+def parsed_date(text: Column, hint: str | None = None, wrap: int = 1950) -> Column:
+    """Julian day of calendar text by ``hint`` first, then ISO, European and American order; null if none fits.
+
+    A year of two digits, last in European or American order, lies in the hundred years from ``wrap`` on.
+    """
     layouts = ([hint] if hint else []) + list(LAYOUTS)
-    clean = F.trim(text)
+    given = F.trim(text)
+    part = lambda k: F.regexp_extract(given, SHORT_YEAR, k)
+    year = full_year(part(4).try_cast("int"), wrap).cast("string")
+    clean = F.when(given.rlike(SHORT_YEAR), F.concat(part(1), part(2), part(3), part(2), year, part(5))).otherwise(given)
     return F.coalesce(*(julian_day(F.try_to_timestamp(clean, F.lit(layout))) for layout in layouts))
 
 

@@ -45,6 +45,12 @@ def power(a: Column, b: Column, strict: bool = True) -> Column:
     return F.when(bad, F.raise_error(F.lit("power out of its domain")).cast("double") if strict else F.lit(None).cast("double")).otherwise(F.pow(a, b))
 
 
+def binary_exponent(n: Column) -> Column:
+    """k where a whole number n is 2 ** k, else null."""
+    k = F.rint(F.log2(n.cast("double"))).cast("int")
+    return F.when((n > 0) & (F.pow(F.lit(2.0), k) == n), k)
+
+
 def normal_density(x: Column) -> Column:
     return F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
 

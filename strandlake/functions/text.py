@@ -70,3 +70,20 @@ def int_list(text: Column) -> Column:
     """array<int> from ``[1, 2, 3]``."""
     inner = F.regexp_replace(text, r"[\[\]\s]", "")
     return F.when(inner == "", F.array().cast("array<int>")).otherwise(F.split(inner, ",").cast("array<int>"))
+
+
+def box_numbers(text: Column) -> Column:
+    """The numbers of a box: one (a cube, given as three equal lengths), three, six or nine; null for any other count or a word that isn't a number."""
+    values = F.transform(F.split(F.regexp_replace(F.trim(text), "[,;]", " "), r"\s+"), lambda v: v.try_cast("double"))
+    whole = F.size(values).isin(1, 3, 6, 9) & ~F.exists(values, lambda v: v.isNull())
+    return F.when(whole, F.when(F.size(values) == 1, F.array_repeat(F.get(values, 0), 3)).otherwise(values))
+
+
+def with_prefix(name: Column, prefix: str) -> Column:
+    """``prefix.name``, unless the name has a prefix already."""
+    return F.when(F.contains(name, F.lit(".")), name).otherwise(F.concat(F.lit(prefix + "."), name))
+
+
+def without_prefix(name: Column) -> Column:
+    """What follows the first dot; the whole name where there is none."""
+    return F.when(F.contains(name, F.lit(".")), F.regexp_replace(name, r"^[^.]*\.", "")).otherwise(name)

@@ -105,6 +105,14 @@ def implied_timescale(eigenvalue: Column, lag_time: float) -> Column:
     return F.when(eigenvalue >= 1, F.lit(float("inf"))).when(eigenvalue > 0, -lag_time / F.log(eigenvalue))
 
 
+def kinetic_variance(values: DataFrame, by: Names, eigenvalue: str) -> DataFrame:
+    """Kinetic variance v^2 / (1 - v^2) of each eigenvalue under 1 in magnitude, and the part that it and all greater ones hold: adds kinetic, upto."""
+    v = F.col(eigenvalue)
+    rows = values.filter(F.abs(v) < 1).withColumn("kinetic", v * v / (1 - v * v))
+    w = Window.partitionBy(*by)
+    return rows.withColumn("upto", F.sum("kinetic").over(w.orderBy(F.desc(eigenvalue)).rangeBetween(Window.unboundedPreceding, 0)) / F.sum("kinetic").over(w))
+
+
 def mass_cutoff(pi: DataFrame, parts: Sequence[float], by: Names = ()) -> DataFrame:
     """How many of the most populated states hold each part of the mass: by, part, n_states. Ties: smaller state first."""
     w = Window.partitionBy(*by).orderBy(F.desc("pi"), "state").rowsBetween(Window.unboundedPreceding, 0)

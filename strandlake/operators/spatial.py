@@ -136,3 +136,30 @@ def superposed_rmsd(frames: DataFrame, reference: DataFrame, by: Names, atom: st
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.select(*by, "n").schema)
     return sums.mapInArrow(solve, f"{kinds}, rmsd double")
+
+
+def superposed(frames: DataFrame, reference: DataFrame, by: Names, atom: str, xyz: Names = ("x", "y", "z")) -> DataFrame:
+    """All atoms of each frame after the rotation and shift that bring it nearest to the reference: by, atom, coordinates.
+
+    The rotation is found from the atoms that both have, by name (see :func:`superposed_rmsd`); only it, one row for each frame, comes
+    back to the atoms. Frames without an atom in common are left out.
+    """
+    left = frames.select(*by, atom, *(F.col(c).cast("double").alias(f"_a{k}") for k, c in enumerate(xyz)))
+    right = reference.select(atom, *(F.col(c).cast("double").alias(f"_b{k}") for k, c in enumerate(xyz)))
+    a, b = ([F.col(f"_{side}{k}") for k in range(3)] for side in "ab")
+    sums = left.join(right, atom).groupBy(*by).agg(F.array(*(F.covar_pop(p, q) for p in a for q in b)).alias("_c"), F.array(*(F.avg(c) for c in (*a, *b))).alias("_m"))
+
+    def solve(batches):
+        for batch in batches:
+            turns = []
+            for c in batch.column("_c").to_pylist():
+                u, _, w = np.linalg.svd(np.array(c).reshape(3, 3))
+                u[:, 2] *= np.sign(np.linalg.det(u) * np.linalg.det(w)) or 1.0  # no mirror image
+                turns.append((u @ w).ravel().tolist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in by), batch.column("_m"), pa.array(turns, pa.list_(pa.float64()))], [*by, "_m", "_t"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.select(*by).schema)
+    turned = left.join(sums.mapInArrow(solve, f"{kinds}, _m array<double>, _t array<double>"), list(by))
+    off = [a[k] - F.col("_m")[k] for k in range(3)]
+    new = [sum((off[i] * F.col("_t")[3 * i + k] for i in range(3)), F.col("_m")[3 + k]) for k in range(3)]
+    return turned.select(*by, atom, *(v.alias(c) for v, c in zip(new, xyz)))

@@ -115,3 +115,25 @@ def stacked(df: DataFrame, by: Names, set_col: str, pos: str, y: str, out: str =
     """Sets drawn on top of each other: the sum of ``y`` over this and all smaller sets at the same position; nulls add nothing."""
     w = Window.partitionBy(*by, pos).orderBy(set_col).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(out, F.sum(F.coalesce(F.col(y), F.lit(0.0))).over(w))
+
+
+def outside_slab(points: DataFrame, z: str, middle: float, half: float) -> DataFrame:
+    """Points at least ``half`` away from the plane z = ``middle``; those of unknown z are left out."""
+    return points.filter(F.abs(F.col(z) - middle) >= half)
+
+
+def without_first(df: DataFrame, keys: Names, order: Names, n: int) -> DataFrame:
+    """Sets without their first ``n`` rows, as one leaflet that is to hold fewer than the other."""
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") > n).drop("_r")
+
+
+def pore(profile: DataFrame, by: Names, along: str, radius: str) -> DataFrame:
+    """Least radius of each pore, where it is, and its geometric factor, the sum of ds / area: by, least_radius, at, factor.
+
+    ds is the step in ``along`` to the next point; the radius that of the point the step leaves. Points with a null or no positive radius are left out.
+    """
+    rows = profile.filter((F.col(radius) > 0) & F.col(along).isNotNull()).select(*by, F.col(along).alias("_s"), F.col(radius).alias("_r"))
+    step = F.lead("_s").over(Window.partitionBy(*by).orderBy("_s")) - F.col("_s")
+    rows = rows.withColumn("_f", step / (F.pi() * F.col("_r") * F.col("_r")))
+    best = F.min(F.struct("_r", "_s"))
+    return rows.groupBy(*by).agg(best.alias("b"), F.coalesce(F.sum("_f"), F.lit(0.0)).alias("factor")).select(*by, F.col("b._r").alias("least_radius"), F.col("b._s").alias("at"), "factor")

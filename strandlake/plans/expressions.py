@@ -196,6 +196,20 @@ s AS (SELECT c_custkey, length(x) AS n, length(x) = length(y) AS same, list_sum(
 SELECT c_custkey, CASE WHEN same THEN (n - m)::INTEGER END AS mismatches, CASE WHEN same THEN round(100.0 * m / n, 6) + 0.0 END::DOUBLE AS percent FROM s"""
 
 
+def name_prefixes(spark, d):
+    """Brands with and without a prefix, sizes as powers of two and as boxes of one or three numbers."""
+    df = table(spark, d, "part")
+    size = F.col("p_size").cast("string")
+    box = F.when(F.col("p_partkey") % 3 == 0, size).when(F.col("p_partkey") % 3 == 1, F.concat_ws(" ", size, F.lit("2.5,"), size)).otherwise(F.concat_ws(" ", size, size))
+    full = T.with_prefix(F.col("p_brand"), "FF")
+    return df.select("p_partkey", full.alias("full"), T.without_prefix(full).alias("short"), N.binary_exponent(F.col("p_size")).alias("exponent"), F.least("p_size", F.lit(5)).alias("capped"), T.box_numbers(box).alias("box"))
+
+
+SQL["name_prefixes"] = """
+SELECT p_partkey, 'FF.' || p_brand AS full, p_brand AS short, CASE WHEN p_size > 0 AND p_size & (p_size - 1) = 0 THEN length(bin(p_size)) - 1 END::INTEGER AS exponent, least(p_size, 5) AS capped,
+  CASE p_partkey % 3 WHEN 0 THEN [p_size, p_size, p_size]::DOUBLE[] WHEN 1 THEN [p_size, 2.5, p_size]::DOUBLE[] END AS box FROM part"""
+
+
 def general_format(spark, d):
     """Values as C's %g writes them, by way of text and back."""
     df = table(spark, d, "events").select("event_id", T.general(F.col("value")).alias("g"))
@@ -278,7 +292,7 @@ def superposed_rmsd(spark, d):
 
 
 for _f in (
-    superposed_rmsd, expr_special_closed, expr_special, expr_special_orders, expr_lgamma, julian_day, date_parse_formats, json_props, map_default, composition_specs, sequence_identity, general_format, minimum_image, apportion, lattice_occupancy,
+    superposed_rmsd, expr_special_closed, expr_special, expr_special_orders, expr_lgamma, julian_day, date_parse_formats, json_props, map_default, composition_specs, sequence_identity, name_prefixes, general_format, minimum_image, apportion, lattice_occupancy,
     lattice_free, affine_map, contact_energy,
 ):
     QUERIES[_f.__name__] = _f

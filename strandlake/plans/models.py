@@ -231,6 +231,16 @@ SELECT run_id, i, j, round(c / sum(c) OVER (PARTITION BY run_id, i), 6) + 0.0 AS
 )
 
 
+def kinetic_shares(spark, d):
+    """The factors of each ladder as eigenvalues: kinetic variance and the part held up to each."""
+    return rounded(K.kinetic_variance(table(spark, d, "lambda_schedule").select("ladder_id", "replica_index", "lam"), ["ladder_id"], "lam"), "kinetic", "upto")
+
+
+SQL["kinetic_shares"] = """
+WITH k AS (SELECT ladder_id, replica_index, lam, lam * lam / (1 - lam * lam) AS kinetic FROM lambda_schedule WHERE abs(lam) < 1)
+SELECT ladder_id, replica_index, lam, round(kinetic, 6) + 0.0 AS kinetic, round(sum(kinetic) OVER (PARTITION BY ladder_id ORDER BY lam DESC) / sum(kinetic) OVER (PARTITION BY ladder_id), 6) + 0.0 AS upto FROM k"""
+
+
 def validity_checks(spark, d):
     """Largest departures from row sums of 1 and from detailed balance."""
     c = K.reversible(transition_counts(spark, d))
@@ -323,6 +333,6 @@ def local_chains_forward(spark, d):
 
 for _f in (
     medoid_scan, local_chains, local_chains_forward, transition_counts, transition_probs, reversible_probs, stationary_states, lag_scan_counts, counts_by_run, matrix_statistics, state_populations, top_states, entropy_efficiency,
-    mass_cutoff, delta_g_by_run, weighted_fes_grid, implied_timescales, timescale_scan, chapman_kolmogorov, connected_states, weak_states, uniform_rows, validity_checks, embedding_components, lagged_components, embedding_medoids,
+    mass_cutoff, delta_g_by_run, weighted_fes_grid, implied_timescales, timescale_scan, chapman_kolmogorov, connected_states, weak_states, uniform_rows, kinetic_shares, validity_checks, embedding_components, lagged_components, embedding_medoids,
 ):
     QUERIES[_f.__name__] = _f

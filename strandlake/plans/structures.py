@@ -93,5 +93,27 @@ SQL["stacked_sets"] = """
 WITH t AS (SELECT event_type, CAST(ts AS DATE) AS day, sum(value) AS total FROM events GROUP BY 1, 2)
 SELECT event_type, day, round(total, 4) + 0.0 AS total, round(sum(total) OVER (PARTITION BY day ORDER BY event_type ROWS UNBOUNDED PRECEDING), 4) + 0.0 AS top FROM t"""
 
-for _f in (net_charge, structure_diameters, cross_sections, native_contacts, principal_extents, best_of_rounds, stacked_sets):
+def pore_measures(spark, d):
+    """Each user's events as the profile of a pore: hours along it, the value as radius."""
+    return rounded(S.pore(events(spark, d), USER, "x", "value"), "least_radius", "at", "factor")
+
+
+SQL["pore_measures"] = (
+    EVENTS_SQL
+    + """, s AS (SELECT user_id, x, value, (lead(x) OVER (PARTITION BY user_id ORDER BY x) - x) / (pi() * value * value) AS f FROM e WHERE value > 0)
+SELECT user_id, round(min(value), 6) + 0.0 AS least_radius, round(arg_min(x, (value, x)), 6) + 0.0 AS at, round(coalesce(sum(f), 0), 6) + 0.0 AS factor FROM s GROUP BY 1"""
+)
+
+
+def leaflet_points(spark, d):
+    """Beads away from the middle slab, without each structure's first three."""
+    df = S.without_first(S.outside_slab(_points(spark, d), "z", 25.0, 5.0), USER, ["z", "event_id"], 3)
+    return rounded(df.select("user_id", "event_id", "z"), "z")
+
+
+SQL["leaflet_points"] = (
+    _BEADS + " SELECT user_id, event_id, z FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY z, event_id) AS r FROM p WHERE abs(z - 25) >= 5) WHERE r > 3"
+)
+
+for _f in (pore_measures, leaflet_points, net_charge, structure_diameters, cross_sections, native_contacts, principal_extents, best_of_rounds, stacked_sets):
     QUERIES[_f.__name__] = _f

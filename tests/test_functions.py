@@ -96,3 +96,11 @@ def test_text_functions(spark):
     assert value(spark, T.int_list(F.lit("[3, 1, 2]"))) == [3, 1, 2] and value(spark, T.int_list(F.lit("[]"))) == []
     assert [tuple(value(spark, T.composition(F.lit(s)))) for s in ("POPC", "POPE=12", "CHOL:0.5")] == [("POPC", 0, 1.0), ("POPE", 12, 0.0), ("CHOL", 0, 0.5)]
     assert value(spark, T.mutation_label(F.lit("R"), F.lit(376), F.lit("H"))) == "R376H"
+
+
+def test_years_of_two_digits(spark):
+    from strandlake.functions import dates as D
+
+    df = spark.createDataFrame([("5.3.97",), ("5.3.1997",), ("3/5/49 12:00",), ("3/5/50",), ("5.3.7",)], "t string")
+    got = [r.y for r in df.select(D.calendar_of(D.parsed_date(F.col("t")))["year"].alias("y")).collect()]
+    assert got == [1997, 1997, 2049, 1950, None]

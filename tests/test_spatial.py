@@ -40,3 +40,22 @@ def test_apportionment_and_salt(spark):
 
     r = spark.range(1).select(P.salt_counts(F.lit(1000.0), 0.15, F.lit(-3)).alias("s")).first().s
     assert tuple(r) == (93, 90)
+
+
+def test_frames_are_laid_on_the_reference(spark):
+    """Turned and moved copies of a structure come back onto it, atoms that it lacks with them."""
+    import numpy as np
+
+    from strandlake.operators.spatial import superposed
+
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(12, 3))
+    rows = []
+    for f in range(3):
+        q, r = np.linalg.qr(rng.normal(size=(3, 3)))
+        q *= np.sign(np.linalg.det(q))
+        rows += [(f, k, *map(float, q @ base[k] + rng.normal())) for k in range(12)] if f == 0 else [(f, k, *map(float, p)) for k, p in enumerate((q @ base.T).T + rng.normal(size=3))]
+    frames = spark.createDataFrame([r for r in rows if r[0]], "f int, atom int, x double, y double, z double")
+    reference = spark.createDataFrame([(k, *map(float, base[k])) for k in range(10)], "atom int, x double, y double, z double")
+    got = superposed(frames, reference, ["f"], "atom").collect()
+    assert len(got) == 24 and all(np.allclose([r.x, r.y, r.z], base[r.atom], atol=1e-9) for r in got)
