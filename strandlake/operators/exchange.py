@@ -119,8 +119,8 @@ def reported_cycle(lines: DataFrame, keys: Names, order: str, stretch: Column) -
     each piece passes on to the pieces after it, so no log has to pass through one task.
     """
     rows = lines.withColumns({"_stretch": stretch, "_cycle": _cycle_of()})
-    marks = rows.filter("_cycle IS NOT NULL").groupBy(*keys, "_stretch").agg(F.max_by("_cycle", order).alias("_c"))
-    pieces = rows.select(*keys, "_stretch").distinct().join(marks, [*keys, "_stretch"], "left")
+    last = F.max_by("_cycle", F.when(F.col("_cycle").isNotNull(), F.col(order)))
+    pieces = rows.groupBy(*keys, "_stretch").agg(last.alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select(*keys, "_stretch", F.last("_c", ignorenulls=True).over(before).alias("_carried"))
     own = Window.partitionBy(*keys, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
