@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.dates import utc_micros
 from strandlake.operators.messages import null_safe_hash, with_pair
-from strandlake.session import shared_path, written
+from strandlake.session import remove_at_end, shared_path, written
 
 RUN_SCHEMA = "prefix long, h1 array<long>, h2 array<long>, at array<long>, record array<long>"
 _COLUMNS = ("h1", "h2", "at", "record")
@@ -247,6 +247,8 @@ def index_deliveries(records: DataFrame, rounds: int = 3, merge_every: int = 2,
     cuts = [k / rounds for k in range(1, rounds)]
     stats = keys.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("batch", cuts or [0.5], 1000).alias("q")).first()
     index = DeliveryIndex.create(spark, path or shared_path(spark, "delivery-index"), stats["n"], merge_every)
+    if path is None:  # nobody knows the name
+        remove_at_end(spark, index.path)
     bounds = sorted(set(stats["q"] or [])) if cuts else []
     low = None
     for high in [*bounds, None]:
