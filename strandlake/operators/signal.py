@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
-from functools import partial
+from functools import partial, reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -27,7 +29,7 @@ def spectrum(df: DataFrame, keys: Names, order: Names, y: str, frequencies: int
     """
     rows = numbered(df, keys, order).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     if frequencies is None:
-        return _whole_spectrum(rows.select(*keys, "pos", "_n", F.col(y).alias("_y")), keys)
+        return _whole_spectrum(rows.select(*keys, "pos", "_n", F.col(y).alias("_y")), keys).drop("_n")
     terms = rows.select(*keys, "pos", "_n", F.col(y).alias("_y"), F.explode(F.sequence(F.lit(0), F.lit(frequencies - 1))).alias("k")).filter(F.col("k") * 2 <= F.col("_n"))
     angle = 2 * F.pi() * ((F.col("pos") * F.col("k")) % F.col("_n")) / F.col("_n")
     sums = terms.groupBy(*keys, "k").agg((F.sum(F.col("_y") * F.cos(angle)) / F.max("_n")).alias("re"), (-F.sum(F.col("_y") * F.sin(angle)) / F.max("_n")).alias("im"))
@@ -35,23 +37,82 @@ def spectrum(df: DataFrame, keys: Names, order: Names, y: str, frequencies: int
 
 
 def _whole_spectrum(rows: DataFrame, keys: Names) -> DataFrame:
-    """All terms from keys, pos, _n, _y in two grouped sums over pos = a * m + b, where m is the largest divisor of n up to its root.
+    """All terms from keys, pos, _n, _y (and _size, which is handed on with _n) in two grouped sums over pos = a * m + b, where m is the largest divisor of n up to its root.
 
     The sum over a hangs on k modulo n / m only, so a set costs n * (n / m + m / 2) products, n * n / 2 where n is prime.
     """
     root = F.floor(F.sqrt(F.col("_n").cast("double")))
     m = F.array_max(F.filter(F.sequence(F.lit(1).cast("long"), root), lambda q: F.col("_n") % q == 0))
+    carried = [c for c in ("_n", "_size") if c in rows.columns]
     rows = rows.withColumn("_m", m).withColumn("_l", (F.col("_n") / F.col("_m")).cast("long"))
-    inner = rows.select(*keys, "_n", "_l", "_m", "_y", (F.col("pos") % F.col("_m")).alias("_b"), F.floor(F.col("pos") / F.col("_m")).alias("_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_l") - 1)).alias("_k"))
+    inner = rows.select(*keys, *carried, "_l", "_m", "_y", (F.col("pos") % F.col("_m")).alias("_b"), F.floor(F.col("pos") / F.col("_m")).alias("_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_l") - 1)).alias("_k"))
     angle = 2 * F.pi() * ((F.col("_a") * F.col("_k")) % F.col("_l")) / F.col("_l")
-    inner = inner.groupBy(*keys, "_b", "_k").agg(F.sum(F.col("_y") * F.cos(angle)).alias("_u"), (-F.sum(F.col("_y") * F.sin(angle))).alias("_v"), *(F.max(c).alias(c) for c in ("_n", "_l", "_m")))
+    inner = inner.groupBy(*keys, "_b", "_k").agg(F.sum(F.col("_y") * F.cos(angle)).alias("_u"), (-F.sum(F.col("_y") * F.sin(angle))).alias("_v"), *(F.max(c).alias(c) for c in (*carried, "_l", "_m")))
     each = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1), lambda q: q * F.col("_l") + F.col("_k"))).alias("k")
-    outer = inner.select(*keys, "_b", "_u", "_v", "_n", each).filter(F.col("k") * 2 <= F.col("_n"))
+    outer = inner.select(*keys, "_b", "_u", "_v", *carried, each).filter(F.col("k") * 2 <= F.col("_n"))
     turn = 2 * F.pi() * ((F.col("_b") * F.col("k")) % F.col("_n")) / F.col("_n")
     re, im = F.cos(turn) * F.col("_u") + F.sin(turn) * F.col("_v"), F.cos(turn) * F.col("_v") - F.sin(turn) * F.col("_u")
-    sums = outer.groupBy(*keys, F.col("k").cast("int").alias("k")).agg((F.sum(re) / F.max("_n")).alias("re"), (F.sum(im) / F.max("_n")).alias("im"), F.max("_n").alias("_n"))
+    sums = outer.groupBy(*keys, F.col("k").cast("int").alias("k")).agg((F.sum(re) / F.max("_n")).alias("re"), (F.sum(im) / F.max("_n")).alias("im"), *(F.max(c).alias(c) for c in carried))
     signs = F.when(F.col("k") * 2 == F.col("_n"), 1).otherwise(2)
-    return sums.withColumn("magnitude", signs * F.hypot("re", "im")).withColumn("phase", -F.atan2("im", "re")).drop("_n")
+    return sums.withColumn("magnitude", signs * F.hypot("re", "im")).withColumn("phase", -F.atan2("im", "re"))
+
+
+def _half_away(v: Column, digits: int) -> Column:
+    """Round the product with 10^digits, halves away from zero; values beyond it stay."""
+    s = v * 10.0**digits
+    r = F.rint(s)
+    r = F.when((F.abs(s - r) == 0.5) & (F.abs(r) < F.abs(s)), s + 0.5 * F.signum(s)).otherwise(r)
+    return F.when(F.abs(s) == float("inf"), v).otherwise(r / 10.0**digits) + F.lit(0.0)
+
+
+def _add_up(batches: Iterator[pa.RecordBatch], keys: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Terms from points sorted by keys, k, pos, added one by one; the sums of the last term go on in the next batch."""
+    current, a, b, n = None, None, None, 0
+
+    def term():
+        if a is None:
+            return (*current, None, None, None)
+        re, im = a / n, -b / n
+        length = math.sqrt(re * re + im * im)
+        return (*current, re, im, (1 if 2 * current[-1] == n else 2) * (math.hypot(re, im) if length == math.inf else length))
+
+    for batch in batches:
+        done = []
+        names = zip(*(batch.column(c).to_pylist() for c in (*keys, "k")))
+        for name, pos, size, y in zip(names, *(batch.column(c).to_pylist() for c in ("pos", "_n", "_y"))):
+            if name != current:
+                if current is not None:
+                    done.append(term())
+                current, a, b, n = name, None, None, size
+            if y is not None:
+                angle = 2 * math.pi * ((pos * name[-1]) % n) / n
+                a, b = (a or 0.0) + y * math.cos(angle), (b or 0.0) + y * math.sin(angle)
+        yield pa.RecordBatch.from_arrays([pa.array([t[c] for t in done], f.type) for c, f in enumerate(schema)], schema=schema)
+    if current is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(term(), schema)], schema=schema)
+
+
+def rounded_spectrum(df: DataFrame, keys: Names, order: Names, y: str, digits: int) -> DataFrame:
+    """The whole :func:`spectrum` as a sum in the order of the points gives it, rounded to ``digits``, halves away from zero: keys, k, re, im, magnitude.
+
+    Means of decimals often lie half-way between two rounded numbers, and the last bits of the sum, which hang on its order,
+    then tell which it is. Terms that lie nearer to a half than sums in any order can err are added up again point by point in one task,
+    which holds one sum; the others come out the same in any order.
+    """
+    of_set = Window.partitionBy(*keys)
+    rows = numbered(df, keys, order).select(*keys, "pos", F.count(F.lit(1)).over(of_set).alias("_n"), F.col(y).cast("double").alias("_y"), F.avg(F.abs(F.col(y).cast("double"))).over(of_set).alias("_size"))
+    terms = _whole_spectrum(rows, keys)
+    off = 8 * (F.col("_n") + 32) * 2.0**-53 * F.col("_size") * 10.0**digits  # twice what sums of n products and their angles err at most, in either order
+    from_half = [F.abs(F.abs(s - F.rint(s)) - 0.5) for s in (F.col(c) * 10.0**digits for c in ("re", "im", "magnitude"))]
+    near = F.coalesce(reduce(or_, ((h <= off) | F.isnan(h) for h in from_half)), F.lit(False))
+    terms = terms.select(*keys, "k", "re", "im", "magnitude", near.alias("_near"))
+    asked = terms.filter("_near").select(*(F.col(c).alias(f"_{n}") for n, c in enumerate(keys)), "k")
+    points = rows.join(asked, [F.col(c).eqNullSafe(F.col(f"_{n}")) for n, c in enumerate(keys)] or F.lit(True)).select(*keys, "k", "pos", "_n", "_y")
+    points = points.repartition(*keys, "k").sortWithinPartitions(*keys, "k", "pos")
+    schema = terms.drop("_near").schema
+    added = points.mapInArrow(partial(_add_up, keys=list(keys), schema=to_arrow_schema(schema)), schema)
+    both = terms.filter("NOT _near").drop("_near").unionByName(added)
+    return both.select(*keys, "k", *(_half_away(F.col(c), digits).alias(c) for c in ("re", "im", "magnitude")))
 
 
 def inverse_spectrum(terms: DataFrame, keys: Names, lengths: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def fit_nonlinear(spark, d):
 
 def fourier_spectrum(spark, d):
     """All terms of each user, k = 0..n/2."""
-    return rounded(G.spectrum(events(spark, d), USER, BY_TIME, "y").drop("phase"), "re", "im", "magnitude", digits=5)
+    return G.rounded_spectrum(events(spark, d), USER, BY_TIME, "y", digits=5)
 
 
 _SPECTRUM = (
