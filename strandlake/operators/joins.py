@@ -146,6 +146,7 @@ def neighbours(points: DataFrame, xyz: Names, radius: float, payload: Names, by:
     cell = [f"_c{n}" for n in range(len(xyz))]
     known = points.dropna(subset=[*by, first, *xyz]).select(*by, *names, *(F.floor(F.col(c) / radius).alias(k) for k, c in zip(cell, xyz)))
     crowded = known.groupBy(*by, *cell).agg(F.ceil(F.count(F.lit(1)) / dense).alias("_parts")).filter("_parts > 1")
+    crowded = F.broadcast(crowded)  # at most one row for every ``dense`` points
     left = known.select(*by, *(F.col(c).alias(f"a_{c}") for c in names), *cell).join(crowded, [*by, *cell], "left")
     left = left.withColumn("_part", F.pmod(F.xxhash64(f"a_{first}"), F.coalesce("_parts", F.lit(1)))).drop("_parts")
     ahead = [s for s in product((-1, 0, 1), repeat=len(xyz)) if s >= (0,) * len(xyz)]  # itself and the half of the neighbours that comes after it
@@ -155,7 +156,8 @@ def neighbours(points: DataFrame, xyz: Names, radius: float, payload: Names, by:
     off = [F.col(f"a_{c}") - F.col(f"b_{c}") for c in xyz]
     square = sum((d * d for d in off), F.lit(0.0))
     near = (square < radius * radius) & (~F.col("_own") | (F.col(f"a_{first}") < F.col(f"b_{first}")))
-    pairs = left.join(right, [*by, *cell, "_part"]).filter(near)
+    # Spark counts the copies as no more than their points; it would send them to the driver where the table's file is small.
+    pairs = left.join(right.hint("merge"), [*by, *cell, "_part"]).filter(near)
     turn = F.col(f"a_{first}") > F.col(f"b_{first}")
     either = [F.when(turn, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{y}_{c}") for y, x in (("a", "b"), ("b", "a")) for c in payload]
     return pairs.select(*by, *either, F.sqrt(square).alias("distance"))
