@@ -107,7 +107,8 @@ def rounded_spectrum(df: DataFrame, keys: Names, order: Names, y: str, digits: i
     near = F.coalesce(reduce(or_, ((h <= off) | F.isnan(h) for h in from_half)), F.lit(False))
     terms = terms.select(*keys, "k", "re", "im", "magnitude", near.alias("_near"))
     asked = terms.filter("_near").select(*(F.col(c).alias(f"_{n}") for n, c in enumerate(keys)), "k")
-    points = rows.join(asked, [F.col(c).eqNullSafe(F.col(f"_{n}")) for n, c in enumerate(keys)] or F.lit(True)).select(*keys, "k", "pos", "_n", "_y")
+    # Spark takes the terms for as few as their points' file is small, and would send them to the driver.
+    points = rows.join(asked.hint("merge"), [F.col(c).eqNullSafe(F.col(f"_{n}")) for n, c in enumerate(keys)] or F.lit(True)).select(*keys, "k", "pos", "_n", "_y")
     points = points.repartition(*keys, "k").sortWithinPartitions(*keys, "k", "pos")
     schema = terms.drop("_near").schema
     added = points.mapInArrow(partial(_add_up, keys=list(keys), schema=to_arrow_schema(schema)), schema)

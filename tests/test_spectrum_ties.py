@@ -29,3 +29,12 @@ def test_unknown_points_and_sets(spark):
     assert got["none", 0] == got["none", 1] == (None, None, None) and got["far", 0][0] == float("inf") and got["big", 0][0] == pytest.approx(1e300) and len(got) == 7
     halves = spark.createDataFrame([(0.5,), (-2.5,), (1.5,), (0.49999999999999994,), (-0.2,)], "v double").select(G._half_away(F.col("v"), 0).alias("v")).collect()
     assert [r.v for r in halves] == [1.0, -3.0, 2.0, 0.0, 0.0]
+
+
+def test_terms_added_again_are_not_broadcast(spark, tmp_path):
+    spark.range(20_000).selectExpr("id % 250 AS s", "id AS t", "id % 97 * 1e9 AS y").repartition(1).write.parquet(f"{tmp_path}/points")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "100k")
+    try:
+        assert G.rounded_spectrum(spark.read.parquet(f"{tmp_path}/points"), ["s"], ["t"], "y", 5).count() == 250 * 41
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
